@@ -1,3 +1,10 @@
 """skein: a document retrieval and corpus-processing engine on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to Python workers by value, so that executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
