@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,8 +53,10 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         if not batch.num_rows:
             continue
         arr = batch.column(batch.schema.get_field_index(column))
-        arr = arr.cast(pa.large_string()).fill_null("")
-        off = np.frombuffer(arr.buffers()[1], np.int64, len(arr) + 1, arr.offset * 8)
+        if arr.null_count:
+            arr = arr.fill_null("")
+        width = 8 if pa.types.is_large_string(arr.type) else 4
+        off = np.frombuffer(arr.buffers()[1], f"i{width}", len(arr) + 1, arr.offset * width).astype(np.int64)
         data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)
         i = 0
         while i < len(arr):
@@ -116,6 +120,11 @@ def ngram_hashes(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray
     return h, heads
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, so that a Python worker's memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["near_dup"]
+MODULES = ["near_dup", "lm_score"]
 
 
 def queries() -> dict:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._common import components, mix, ngram_hashes, stored, text_chunks, word_hashes
+from skein.llm._common import bounded_batches, components, mix, ngram_hashes, stored, text_chunks, word_hashes
 
 BINS = 128
 BANDS, ROWS = 25, 5
@@ -146,6 +146,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: near-duplicate components at similarity percent/100 on `shingle`-word shingles."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = stored(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"))
     some = sketch.where("n_shingles > 0 and doc_id is not null")
