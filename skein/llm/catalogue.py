@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "chat_format", "inner_product", "language_id", "sentencepiece", "pii", "lm_score", "toxicity", "near_dup"]
+MODULES = ["decontaminate", "chat_format", "inner_product", "substring_dup", "language_id", "sentencepiece", "pii", "lm_score", "toxicity", "near_dup"]
 
 
 def queries() -> dict:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm._common import bounded_batches, stored, text_chunks
 
@@ -94,7 +95,7 @@ class Scorer:
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (begin, end, score): Ruzzo and Tompa's list of candidates with cumulative sums."""
-        found: list[list[float]] = []  # left sum, right sum, begin, end
+        found: list[list[float]] = []  # left sum, right sum, begin, end, the last candidate before it with a smaller left sum
         total, at = 0.0, 0
         for i, s in self.tokens(words):
             total += (i - at) * self.background
@@ -102,17 +103,17 @@ class Scorer:
             left, total = total, total + s
             if s <= 0:
                 continue
-            cand = [left, total, i, i + 1]
+            cand = [left, total, i, i + 1, -1]
             while True:
                 j = len(found) - 1
                 while j >= 0 and found[j][0] >= cand[0]:
-                    j -= 1
+                    j = found[j][4]  # those between have larger left sums still
                 if j < 0 or found[j][1] >= cand[1]:
-                    found.append(cand)
+                    found.append([*cand[:4], j])
                     break
-                cand = [found[j][0], cand[1], found[j][2], cand[3]]
+                cand = [found[j][0], cand[1], found[j][2], cand[3], -1]
                 del found[j:]
-        return [(int(b), int(e), hi - lo) for lo, hi, b, e in found]
+        return [(int(b), int(e), hi - lo) for lo, hi, b, e, _ in found]
 
     def surprise(self, score: float, n: int) -> float:
         """-log10 P(a clean text of n tokens has a segment of this score)."""
@@ -216,19 +217,37 @@ def _score(scorer: Scorer, columns: list[str]):
     return run
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, trains: Column) -> Scorer:
+    bounded_batches(docs.sparkSession)
+    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    ids = marked.withColumn("t", trains).where("t").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
+    # At most SAMPLE_ROWS rows of 12 bytes: the broadcast has a fixed bound.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return fit(rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
+
+
+SEGMENTS = "array<struct<first_word: long, end_word: long, score: double>>"
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, trains: Column) -> DataFrame:
     """doc_id, text, toxic_score (0 to 1), n_segments and segments (word positions of the significant ones) of every row of docs.
 
     Learns from rows of docs where `trains` holds and that labels has a toxic value for."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    scorer = _fitted(docs, labels, trains)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    ids = marked.withColumn("t", trains).where("t").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    # At most SAMPLE_ROWS rows of 12 bytes: the broadcast has a fixed bound.
-    scorer = fit(docs.join(F.broadcast(ids), "doc_id").select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic")))
-    return docs.mapInArrow(_score(scorer, ["doc_id", "text"]), "doc_id long, text string, toxic_score double, n_segments long, segments array<struct<first_word: long, end_word: long, score: double>>")
+    return docs.mapInArrow(_score(scorer, ["doc_id", "text"]), f"doc_id long, text string, toxic_score double, n_segments long, segments {SEGMENTS}")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, trains: Column, reject: float) -> DataFrame:
+    """The rows of docs with a score below reject; all columns stay as they are."""
+    scorer = _fitted(docs, labels, trains)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    held = docs.toDF(*names).withColumn("text", F.col(names[at]).cast("string"))
+    more = T.StructType().add("toxic_score", "double").add("n_segments", "long").add("segments", T._parse_datatype_string(SEGMENTS))
+    out = held.mapInArrow(_score(scorer, names), T.StructType([*held.select(*names).schema.fields, *more.fields]))
+    return out.where(F.col("toxic_score") < reject).select(*names).toDF(*docs.columns)
 
 
 def _remainder(n: int) -> Column:
