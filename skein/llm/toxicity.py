@@ -1,9 +1,10 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-1. Token log-odds. Words of labelled training texts are counted by label. A word's log-odds toxic : clean has an informative
-   Dirichlet prior, centred on the log-odds of the word's first PREFIX letters (themselves smoothed by the overall rates), so that
-   unseen forms of a known stem score too. Words whose log-odds are significant (z above MIN_Z) keep log p(w|toxic)/p(w|clean);
-   all other tokens share one small negative score, the log-ratio of "no such word here".
+1. Token log-odds. Words of labelled training texts are counted by label, once a text, so that one long or repetitive text weighs no
+   more than another. A word's log-odds toxic : clean has an informative Dirichlet prior, centred on the log-odds of the word's first
+   PREFIX letters (themselves smoothed by the overall rates). Words whose log-odds are above MIN_ODDS and significant (z above MIN_Z)
+   keep log p(w|toxic)/p(w|clean); so do word beginnings, for words that were too rare to judge: unseen forms of a known stem
+   score too. All other tokens share one small negative score, the log-ratio of "no such word here".
 2. Segments. A linear scan finds every maximal scoring segment of a text (Ruzzo and Tompa); runs of background tokens count as one
    step, so the scan's work follows the scored tokens.
 3. Calibration. For a random text of n tokens the best score follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x));
@@ -35,9 +36,12 @@ from pyspark.sql import types as T
 from skein.llm._common import bounded_batches, stored, text_chunks
 
 SAMPLE_ROWS = 40_000
-PREFIX, MIN_Z, STRENGTH, MAX_TERMS = 5, 3.0, 4.0, 20_000
+PREFIX, MIN_Z, MIN_ODDS, STRENGTH, MAX_TERMS = 4, 4.0, 2.5, 4.0, 20_000
+#: Texts from which on a word is judged by itself, not by its beginning.
+ENOUGH = 8
 SEGMENT_P, BINS = 1e-3, 60
 WORD = re.compile(r"[^\W\d_]+")
+COUNTS = ("t", "c", "tt", "tc")
 
 
 def words_of(text: str) -> list[str]:
@@ -49,27 +53,31 @@ def texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind w or p, term, toxic count, clean count) of the batch's words and word beginnings."""
-    schema = pa.schema([("kind", pa.string()), ("term", pa.string()), ("t", pa.int64()), ("c", pa.int64())])
-    by: tuple[Counter, Counter] = Counter(), Counter()
-
-    def rows(kind: str, a: Counter, b: Counter) -> pa.RecordBatch:
-        terms = list(a.keys() | b.keys())
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(terms)), pa.array(terms, pa.string()), pa.array([b[x] for x in terms], pa.int64()), pa.array([a[x] for x in terms], pa.int64())], schema=schema)
+    """(kind, term, toxic and clean texts with it, its occurrences in them) of words (w), word beginnings (p) and all together (all)."""
+    schema = pa.schema([("kind", pa.string()), ("term", pa.string()), *((c, pa.int64()) for c in COUNTS)])
+    texts_by: dict[str, tuple[Counter, Counter]] = {k: (Counter(), Counter()) for k in ("w", "p", "all")}
+    times: tuple[Counter, Counter] = Counter(), Counter()
 
     def flush():
-        yield rows("w", *by)
-        short = Counter(), Counter()
-        for s, c in zip(short, by, strict=True):
-            for w, n in c.items():
-                s[w[:PREFIX]] += n
+        for kind, (clean, toxic) in texts_by.items():
+            terms = list(clean.keys() | toxic.keys())
+            columns = [[x[t] for t in terms] for x in (toxic, clean, *((times[1], times[0]) if kind != "p" else (Counter(), Counter())))]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(terms), pa.string()), pa.array(terms, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+            clean.clear()
+            toxic.clear()
+        for c in times:
             c.clear()
-        yield rows("p", *short)
 
     for batch, _, _ in text_chunks(batches):
         for text, toxic in zip(texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist(), strict=True):
-            by[toxic].update(words_of(text))
-        if len(by[0]) + len(by[1]) > 300_000:
+            words = words_of(text)
+            once = set(words)
+            times[toxic].update(words)
+            times[toxic][""] += len(words)
+            texts_by["w"][toxic].update(once)
+            texts_by["p"][toxic].update({w[:PREFIX] for w in once if len(w) > PREFIX})
+            texts_by["all"][toxic][""] += 1
+        if len(times[0]) + len(times[1]) > 300_000:
             yield from flush()
     yield from flush()
 
@@ -88,7 +96,7 @@ class Scorer:
         for i, w in enumerate(words):
             s = get(w)
             if s is None:
-                s = pre(w[:PREFIX]) if len(w) >= PREFIX else None
+                s = pre(w[:PREFIX]) if len(w) > PREFIX else None
             if s:
                 out.append((i, s))
         return out
@@ -145,32 +153,36 @@ def _best(scorer: Scorer):
 
 def fit(labelled: DataFrame) -> Scorer:
     """From rows (text, toxic 0 or 1), a bounded sample."""
-    counts = stored(labelled.mapInArrow(_count, "kind string, term string, t long, c long").groupBy("kind", "term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    total = counts.where("kind = 'w'").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
-    nt, nc = total["t"], total["c"]
-    if not (nt and nc):
+    counts = labelled.mapInArrow(_count, "kind string, term string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("kind", "term")
+    counts = stored(counts.agg(*(F.sum(c).alias(c) for c in COUNTS)))
+    total = counts.where("kind = 'all'").first()
+    if not (total and total["t"] and total["c"] and total["tt"] and total["tc"]):
         scorer = Scorer({}, {}, -1.0)
         share = labelled.agg(F.avg("toxic").alias("x")).first()["x"]
         scorer.curve = [float(share or 0.0)] * (BINS + 1)
         return scorer
+    nt, nc = total["t"], total["c"]
     rate = nt / (nt + nc)
-    # Prefixes: prior at the overall rate. Words: prior at their prefix's smoothed rate.
+    # Beginnings: prior at the overall rate. Words: prior at their beginning's smoothed rate.
     pre = counts.where("kind = 'p'").select(F.col("term").alias("stem"), ((F.col("t") + STRENGTH * rate) / (F.col("t") + F.col("c") + STRENGTH)).alias("r"), F.col("t").alias("pt"), F.col("c").alias("pc"))
 
-    def significant(df: DataFrame, t: Column, c: Column, prior: Column) -> DataFrame:
+    def judged(df: DataFrame, t: Column, c: Column, prior: Column) -> DataFrame:
         a, b = t + STRENGTH * prior, c + STRENGTH * (1 - prior)
-        odds = F.log(a / (nt + STRENGTH)) - F.log(b / (nc + STRENGTH))
-        z = odds / F.sqrt(1 / a + 1 / b)
-        return df.withColumns({"odds": odds, "z": z}).where((F.col("z") > MIN_Z) & (F.col("odds") > 0.5) & (t >= 2))
-
-    words = counts.where("kind = 'w'").withColumn("stem", F.substring("term", 1, PREFIX)).join(pre, "stem")
-    words = significant(words, F.col("t"), F.col("c"), F.col("r")).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    got = words.select("term", "odds", "t", "c").collect()
-    stems = significant(pre.where(F.length("stem") == PREFIX), F.col("pt"), F.col("pc"), F.lit(rate)).orderBy(F.desc("z"), "stem").limit(MAX_TERMS)
-    heads = stems.select("stem", "odds").collect()
-    ht, hc = sum(r["t"] for r in got), sum(r["c"] for r in got)
-    background = math.log((1 - ht / nt) / (1 - hc / nc)) if ht < nt and hc < nc else -0.01
-    scorer = Scorer({r["term"]: r["odds"] for r in got}, {r["stem"]: r["odds"] for r in heads}, min(background, -1e-4))
+        odds = F.log(a / (nt + STRENGTH * rate)) - F.log(b / (nc + STRENGTH * (1 - rate)))
+        z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        return df.withColumns({"odds": odds, "z": z, "hot": (z > MIN_Z) & (odds > MIN_ODDS) & (t >= 2)})
+
+    words = counts.where("kind = 'w'").withColumn("stem", F.substring("term", 1, PREFIX)).join(pre, "stem", "left").withColumn("r", F.coalesce("r", F.lit(rate)))
+    words = stored(judged(words, F.col("t"), F.col("c"), F.col("r")))
+    got = words.where("hot").orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term", "odds", "tt", "tc").collect()
+    stems = judged(pre, F.col("pt"), F.col("pc"), F.lit(rate)).where("hot").orderBy(F.desc("z"), "stem").limit(MAX_TERMS)
+    heads = {r["stem"]: r["odds"] for r in stems.select("stem", "odds").collect()}
+    # Words of hot beginnings that are known well enough and not hot themselves score nothing.
+    cold = words.where((F.col("odds") < MIN_ODDS) & (F.col("t") + F.col("c") >= ENOUGH) & F.col("stem").isin(list(heads) or [""])).orderBy(F.desc("c"), "term").limit(MAX_TERMS)
+    known = {r["term"]: 0.0 for r in cold.select("term").collect()} | {r["term"]: r["odds"] for r in got}
+    ht, hc = sum(r["tt"] for r in got) / total["tt"], sum(r["tc"] for r in got) / total["tc"]
+    background = math.log((1 - ht) / (1 - hc)) if ht < 1 and hc < 1 else -0.01
+    scorer = Scorer(known, heads, min(background, -1e-3))
 
     rows = labelled.mapInArrow(_best(scorer), "toxic int, n long, best double, s double, k long").toPandas()
     clean = rows[rows.toxic == 0]
