@@ -112,8 +112,8 @@ def best(q_ids: np.ndarray, q: np.ndarray, limit: np.ndarray, c_ids: np.ndarray,
             bound = qr[rows, :head] @ cr[n, :head].T + np.outer(q_rest[rows], c_rest[n])
             keep = (bound >= (limit[rows] - slack[rows])[:, None]) & (c_ids[n][None, :] != q_ids[rows][:, None])
             if keep.mean() > 0.05:
-                score = np.where(keep, q[rows] @ c[n].T, -np.inf)
-                x, y = np.nonzero(score >= limit[rows][:, None])
+                score = q[rows] @ c[n].T
+                x, y = np.nonzero(keep & (score >= limit[rows][:, None]))
                 s = score[x, y]
             else:
                 x, y = np.nonzero(keep)
