@@ -61,6 +61,15 @@ class Pieces:
         self.byte_weight = (len(usual) + 10.0) ** -theta
         # The units are sound only if no piece crosses from one to the next.
         self.unit = UNIT if all(len(UNIT.findall(p)) == 1 for p in self.vocab if p.strip(" ")) else re.compile(r" *[^ ]+| +")
+        at = {n: [p for p in self.vocab if len(p) == n] for n in range(1, self.longest + 1)}
+        self.by_length = []  # of each length: sorted hashes, ids, weights
+        for n, texts in at.items():
+            h = self.hashes("".join(texts), n)[::n] if texts else np.zeros(0, np.uint64)
+            order = np.argsort(h)
+            self.by_length.append((h[order], np.array([self.vocab[texts[k]][0] for k in order], np.int32), np.array([self.vocab[texts[k]][1] for k in order])))
+            if len(np.unique(h)) < len(h):
+                raise ValueError("piece hashes collide")
+        self.raw = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "control" else p.replace(META, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
         self.bytes_of: list[tuple[int, ...]] = []  # edges of characters without a piece: ids -2 - k
         self.byte_edges: dict[str, int] = {}
         self.clear()
@@ -69,6 +78,71 @@ class Pieces:
         self.last: dict[str, int] = {}
         self.share, self.ids, self.back, self.first = array("d"), array("i"), array("i"), array("i")
 
+    @staticmethod
+    def hashes(text: str, n: int) -> np.ndarray:
+        """A hash of each substring of n characters."""
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)] + np.uint64(1)
+        return mix(h)
+
+    def add_all(self, units: list[str]) -> None:
+        """Filters the lattices of new units, all at once; those with characters that have no piece go one by one."""
+        text = "".join(units)
+        ends = np.cumsum([len(u) for u in units])
+        begins = np.concatenate([[0], ends[:-1]])
+        end_of = np.repeat(ends, ends - begins)
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        h, place = np.zeros(len(c), np.uint64), np.arange(len(c))
+        found = []
+        for n, (known, ids, weights) in enumerate(self.by_length, 1):
+            on = place + n <= end_of[place]
+            place, h = place[on], h[on]
+            if not len(place):
+                break
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[place + n - 1]
+            x = mix(h)
+            at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+            hit = known[at] == x if len(known) else np.zeros(len(x), bool)
+            found.append((place[hit], place[hit] + n, ids[at[hit]], weights[at[hit]]))
+        begin, end, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        single = np.zeros(len(c), bool)
+        single[found[0][0]] = True
+        whole = np.logical_and.reduceat(single, begins)
+        if not whole.all():
+            for k in np.flatnonzero(~whole):
+                self.last[units[k]] = self.add(units[k])
+            units = [u for u, w in zip(units, whole, strict=True) if w]
+            return self.add_all(units) if units else None
+        start = np.repeat(begins, ends - begins)
+        step = end - start[begin]  # places of a unit are filled in order, all units together
+        order = np.lexsort((end, step))
+        total = np.zeros(len(c) + 1)  # of the place after each character
+        part = np.empty(len(begin))
+        cuts = np.searchsorted(step[order], np.arange(1, step[order[-1]] + 2))
+        first_of = begin == start[begin]
+        for k in range(len(cuts) - 1):
+            e = order[cuts[k] : cuts[k + 1]]
+            p = np.where(first_of[e], 1.0, total[begin[e]]) * weight[e]
+            part[e] = p
+            to = end[e]
+            new = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            total[to[new]] = np.add.reduceat(p, new)
+        order = np.argsort(end, kind="stable")
+        begin, end, piece, part = begin[order], end[order], piece[order], part[order] / total[end[order]]
+        run = np.cumsum(part)
+        firsts = np.searchsorted(end, np.arange(1, len(c) + 1))
+        lasts = np.append(firsts[1:], len(end)) - 1
+        share = run - np.repeat(run[firsts] - part[firsts], lasts - firsts + 1)
+        share[lasts] = 2.0
+        node, edge = len(self.first), len(self.ids)
+        self.share.frombytes(share.tobytes())
+        self.ids.frombytes(piece.astype(np.int32).tobytes())
+        self.back.frombytes(np.where(begin == start[begin], -1, node + begin - 1).astype(np.int32).tobytes())
+        self.first.frombytes((edge + firsts).astype(np.int32).tobytes())
+        self.last.update(zip(units, (node + ends - 1).tolist(), strict=True))
+
     def byte_edge(self, char: str) -> tuple[int, float]:
         k = self.byte_edges.get(char)
         if k is None:
@@ -115,18 +189,18 @@ class Pieces:
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the texts, and their offsets by text."""
-        last, lasts, counts = self.last, [], []
-        get, put, split = last.get, lasts.append, self.unit.findall
+        split = self.unit.findall
+        flat: list[str] = []
+        counts = []
         for text in texts:
             units = split(" " + text) if text else ()
-            for u in units:
-                k = get(u)
-                if k is None:
-                    k = self.add(u)
-                    if len(u) <= KEPT_LENGTH:
-                        last[u] = k
-                put(k)
+            flat += units
             counts.append(len(units))
+        new = [u for u in set(flat).difference(self.last) if len(u) <= KEPT_LENGTH]
+        if new:
+            self.add_all(new)
+        get = self.last.get
+        lasts = [k if (k := get(u)) is not None else self.add(u) for u in flat]
         count = np.array(counts, np.int64)
         heads = np.concatenate([[0], np.cumsum(count)])
         row = np.repeat(np.arange(len(texts)), count)
@@ -168,15 +242,7 @@ class Pieces:
         return piece.astype(np.int32), heads
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(self.raw[i] for i in ids)
-        text = raw.decode("utf-8", "replace")
-        return text.removeprefix(" ")
-
-    @property
-    def raw(self) -> list[bytes]:
-        if not hasattr(self, "_raw"):
-            self._raw = [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "control" else p.replace(META, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        return self._raw
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def load(model_file: str | None = None, theta: float = 0.6) -> Pieces:
