@@ -179,13 +179,13 @@ def parse(query: str, pattern: str = SIMPLE) -> Group:
 
 
 def terms_by_field(node) -> dict[str, list[str]]:
-    """The scored terms of the token columns."""
+    """The terms of the token columns that need statistics."""
     out: dict[str, list[str]] = {}
     todo = [node]
     while todo:
         x = todo.pop()
         if isinstance(x, Group):
-            todo += [n for o, n in x.clauses if o != "-"]
+            todo += [n for _, n in x.clauses]
         elif x.kind in ("term", "phrase") and x.name in TOKENS:
             out.setdefault(TOKENS[x.name], []).extend(x.words)
     return out

@@ -69,7 +69,8 @@ def categorised(files: DataFrame, config: IndexConfig) -> DataFrame:
 def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
     """path, content, checksum, category, kind of a configuration's files under base_dir (a local path or a URL that Spark reads).
 
-    Only the patterns' static prefixes are listed; content is read by executors."""
+    Only the patterns' static prefixes are listed; content is read by executors. Spark doesn't read files of no bytes: they have no
+    chunks, and a file that becomes empty counts as removed."""
     base = base_dir.rstrip("/")
     patterns = [*config.markdown, *config.yaml, *config.source.include]
     globs.regexes(patterns)  # absolute patterns raise

@@ -19,10 +19,12 @@ DEBOUNCE, POLL, SCAN, IDLE = "1 second", "500 milliseconds", "5 minutes", "10 mi
 IGNORED = ("target", "build", "node_modules", ".git")
 
 
-def bursts(events: DataFrame, ts: str = "ts", gap: str = DEBOUNCE) -> DataFrame:
-    """start, end, n: runs of events that stand less than a gap apart; each triggers one pass. Batch or stream (with a watermark)."""
+def bursts(events: DataFrame, ts: str = "ts", gap: str = DEBOUNCE, *keys: str) -> DataFrame:
+    """keys, start, end, n: runs of events that stand less than a gap apart; each triggers one pass.
+
+    Batch, or a stream with a watermark; a stream needs a key, for example the index's name."""
     w = F.session_window(ts, gap)
-    return events.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def scan_windows(events: DataFrame, ts: str = "ts", every: str = SCAN) -> DataFrame:
