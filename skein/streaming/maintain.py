@@ -6,6 +6,7 @@ the snapshot diff; event times of a change stream are grouped by session and tum
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,12 @@ def keep_indexed(spark: SparkSession, index: SearchIndex, names: list[str] | Non
 
     writer = spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.trigger(processingTime=every).foreachBatch(run)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def stop_when_idle(query: StreamingQuery, last_used: Callable[[], float], busy: Callable[[], bool] = lambda: False, idle: float = 600.0, poll: float = 0.5) -> None:
+    """Returns after it has stopped the query: when nothing is in flight and the last use is `idle` seconds past."""
+    while query.isActive:
+        if not busy() and time.time() - last_used() >= idle:
+            query.stop()
+            return
+        time.sleep(poll)

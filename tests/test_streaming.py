@@ -47,3 +47,10 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q = maintain.bursts(ev, "ts", "1 second", "path").writeStream.outputMode("append").format("memory").queryName("bursts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["n"] for r in spark.sql("select n from bursts").collect()) in ([1, 2], [2], [1, 1, 2])
+
+
+def test_an_idle_stream_stops(spark):
+    query = spark.readStream.format("rate").load().writeStream.format("noop").start()
+    used = time.time()
+    maintain.stop_when_idle(query, lambda: used, busy=lambda: time.time() < used + 0.5, idle=0.2, poll=0.1)
+    assert not query.isActive and time.time() >= used + 0.5
