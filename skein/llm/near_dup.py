@@ -7,9 +7,12 @@ densification). Bands of bins are bucket keys.
 Candidate pairs never come from all pairs of a bucket:
 1. Documents with equal sets are one node (their least doc_id), by an aggregate.
 2. Every bucket's least node is joined to its other nodes, a star; each edge is confirmed on full sets.
-3. What the stars left apart: a bucket that still holds several components is joined once more, its nodes outside its largest
-   component against its others, where sizes and the bins' low bits allow the similarity; these pairs are confirmed too. So a link
-   between two members that both differ from the star's centre isn't lost, and a bucket of copies costs no quadratic work.
+3. What the stars left apart: where a star's members are in several components, a member x that doesn't link to the centre may still link
+   to another member. Such stars are joined by component and get a second centre, the member nearest to the consensus, and its links.
+   Near the centre the other pairs are found by how both differ from it (see _by_difference: an exact prefix filter);
+   farther away by their exact distances to the centre, which can't differ by more than the threshold as Jaccard distance is a
+   metric, by their sizes and by the bins' low bits. These pairs are confirmed too, so no link is lost to the choice of the centre,
+   and copies cost no quadratic work.
 
 Components come from alternating large and small stars over the confirmed edges, each round stored.
 
@@ -31,16 +34,20 @@ from pyspark.sql import functions as F
 
 from skein.llm._common import bounded_batches, components, mix, ngram_hashes, stored, text_chunks, word_hashes
 
-BINS = 128
+BINS = 256
 BANDS, ROWS = 25, 5
+#: Up to this distance from a star's centre, members are compared by how they differ from the centre.
+CLOSE = 0.6
 #: Candidate documents up to this number are looked up by broadcast (8 bytes each), more by a shuffle.
 BROADCAST_IDS = 500_000
 
 
 def may_differ(percent: int) -> int:
-    """Of BINS two-bit bins, how many may differ in a pair that goes on to its full sets: six standard deviations above the mean."""
+    """Of BINS two-bit bins, how many may differ in a pair that goes on to its full sets: 4.5 standard deviations above the mean.
+
+    Bands lose a pair at the threshold about as rarely, once in 100,000 times."""
     p = 0.75 * (1 - percent / 100)
-    return math.ceil(BINS * p + 6 * math.sqrt(BINS * p * (1 - p)))
+    return math.ceil(BINS * p + 4.5 * math.sqrt(BINS * p * (1 - p)))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ def _sketch(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in text_chunks(batches):
+        for batch, data, off in text_chunks(batches, limit=1 << 20):
             h, heads = shingle_sets(data, off, n)
             rows, size = len(heads) - 1, np.diff(heads)
             sums = []
@@ -114,34 +121,96 @@ def _sets(n: int):
     return run
 
 
-def _compare(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = 0
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) > 0:
-                    if len(p) > len(q):
-                        p, q = q, p
-                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64()), ("size", pa.int64()), ("delta", pa.list_(pa.int64()))])
+    for batch in batches:
+        both, either, size, delta = [], [], [], []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            size.append(len(q))
+            if len(p) > len(q):
+                p, q = q, p
+            both.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()))
+            either.append(len(p) + len(q) - both[-1])
+            delta.append(np.setxor1d(p, q, assume_unique=True).view(np.int64) if both[-1] >= (1 - CLOSE) * either[-1] else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (both, either, size)), pa.array(delta, schema.types[5])], schema=schema)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full shingle sets' intersection and union, b's size, and up to distance CLOSE the sets'
+    symmetric difference; a row for each version of an id."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items binary")
     sets = stored(sets.where(F.length("items") > 0))
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return first.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long").distinct()
+    both = first.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(_compare, "a long, b long, both long, either long, size long, delta array<long>"))
+
+
+def _recentred(stars: DataFrame) -> DataFrame:
+    """Of the stars: a, node, n, c, d, delta, against a better centre than a: the member nearest to the consensus.
+
+    Most members share the elements in which a poor centre differs from all of them; the member with most of these and fewest others
+    takes its place. Differences to the new centre follow from those to the old one, so no text is read again. Each member's
+    exact size n, the new centre c2 and its size, and the members' difference from it come back."""
+    near = stars.where("delta is not null")
+    own = near.groupBy("a").agg(F.max(F.col("either") + F.col("both") - F.col("size")).alias("n")).select("a", F.col("a").alias("node"), "n", F.array().cast("array<long>").alias("delta"))
+    near = stored(near.select("a", F.col("b").alias("node"), F.col("size").alias("n"), "delta").union(own))
+    each = near.select("a", "node", F.explode("delta").alias("e"))
+    half = near.groupBy("a").agg((F.count("*") / 2).alias("half"))
+    major = each.groupBy("a", "e").agg(F.count("*").alias("df")).join(half, "a").where("df > half").select("a", "e")
+    shared = each.join(major, ["a", "e"]).groupBy("a", "node").agg(F.count("*").alias("m"))
+    far = near.select("a", "node", F.size("delta").alias("d")).join(shared, ["a", "node"], "left").withColumn("far", F.col("d") - 2 * F.coalesce("m", F.lit(0)))
+    best = far.groupBy("a").agg(F.min(F.struct("far", "node")).alias("x")).select("a", F.col("x.node").alias("c2"))
+    best = best.join(near.select("a", F.col("node").alias("c2"), F.col("n").alias("c"), F.col("delta").alias("own")), ["a", "c2"]).dropDuplicates(["a"])
+    differ = F.concat(F.array_except("delta", "own"), F.array_except("own", "delta"))
+    return stored(near.join(best, "a").select("a", "node", "n", "c2", "c", differ.alias("delta")).withColumn("d", F.size("delta").cast("long")))
+
+
+def _by_difference(near: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star that may link although one of them, x, doesn't link to the centre c.
+
+    With D(x) the difference of x and c, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x, y link if |x - y| <= r (|x| + |y|). As x doesn't
+    link to c, |D(x)| > r (|x| + |c|), so D(x) and D(y) must share at least (|D(y)| + r (|c| - |y|)) / 2 elements, which bounds y's
+    prefix, and at least |D(x)| - r |x| (1 + 1/t), which bounds that of x. Two sets that share o elements share one among their
+    |D| - o + 1 rarest (prefix filter): exact, and copies that differ from the centre each in their own way meet nowhere."""
+    t = percent / 100
+    r = (1 - t) / (1 + t)
+    out_need = F.greatest(F.lit(1), F.ceil(F.col("d") - r * F.col("n") * (1 + 1 / t) - 1e-6))
+    in_need = F.greatest(F.lit(1), F.ceil((F.col("d") + r * (F.col("c") - F.col("n"))) / 2 - 1e-6))
+    near = near.where("d > 0").join(label.select("node", "component", "bits"), "node").withColumn("outside", ~_linked(percent))
+    near = stored(near.withColumn("need", F.when(F.col("outside"), out_need).otherwise(in_need)))
+    each = near.select("a", "node", "d", "need", F.explode("delta").alias("e"))
+    shared = each.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1")
+    listed = each.join(shared, ["a", "e"]).groupBy("a", "node", "d", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))
+    # Elements that no other member has come first in the order; they use up the prefix without meeting anything.
+    length = F.col("d") - F.col("need") + 1 - (F.col("d") - F.size("l"))
+    prefix = listed.where(length > 0).select("a", "node", F.explode(F.slice("l", F.lit(1), length.cast("int"))).alias("x")).select("a", "node", F.col("x.e").alias("e"))
+    rows = prefix.join(near.withColumn("d", 2 * F.col("d") / (F.col("n") + F.col("c") + F.col("d"))).select("a", "node", "component", "n", "d", "bits", "outside"), ["a", "node"])
+    p = rows.where("outside").select("a", "e", *(F.col(c).alias(f"p_{c}") for c in ("node", "component", "n", "d", "bits")))
+    q = rows.select("a", "e", *(F.col(c).alias(f"q_{c}") for c in ("node", "component", "n", "d", "bits")))
+    met = p.join(q, (p.a == q.a) & (p.e == q.e) & _possible(percent))
+    return met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+
+
+def _possible(percent: int) -> F.Column:
+    """Whether p and q may link, from their components, exact sizes, exact distances d to a third set, and the bins' low bits."""
+    pairs = [(F.get("p_bits", F.lit(k)), F.get("q_bits", F.lit(k))) for k in range(BINS // 32)]
+    differ = sum((F.bit_count((x := a.bitwiseXOR(b)).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for a, b in pairs), F.lit(0))
+    return (
+        (F.col("p_component") != F.col("q_component"))
+        & (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
+        & (F.abs(F.col("p_d") - F.col("q_d")) <= 1 - percent / 100 + 1e-9)
+        & ((F.least("p_n", "q_n") < 64) | (differ <= may_differ(percent)))
+    )
+
+
+def _linked(percent: int) -> F.Column:
+    """Whether sets of sizes n and c that differ in d elements link: 100 * intersection >= percent * union."""
+    total = F.col("n") + F.col("c")
+    return 100 * (total - F.col("d")) >= percent * (total + F.col("d"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -154,29 +223,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
-    stars = stored(buckets.join(centres, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    edges = stored(confirmed(stars, docs, shingle, percent))
+    stars = compared(buckets.join(centres, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), docs, shingle)
+    links = F.expr(f"100 * both >= {percent} * either")
+    edges = stars.where(links).select("a", "b")
     found = components(edges)
 
-    labelled = stored(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    rows = labelled.select(F.explode("bands").alias("bucket"), "node", "component", "n", "bits")
-    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = stored(counts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("largest")))
-    rows = rows.join(mixed, "bucket")
-    p = rows.where("component <> largest").select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("node", "component", "n", "bits")))
-    q = rows.select("bucket", "largest", *(F.col(c).alias(f"q_{c}") for c in ("node", "component", "n", "bits")))
-    differ = sum((F.bit_count((x := F.get("p_bits", F.lit(k)).bitwiseXOR(F.get("q_bits", F.lit(k)))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for k in range(BINS // 32)), F.lit(0))
-    rest = p.join(
-        q,
-        (p.bucket == q.bucket)
-        & (F.col("p_component") != F.col("q_component"))
-        & ((F.col("q_component") == F.col("largest")) | (F.col("p_node") < F.col("q_node")))
-        & (100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
-        & ((F.least("p_n", "q_n") < 64) | (differ <= may_differ(percent))),
-    ).select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"))
+    # What the stars left apart: stars whose centres are in one component are joined to one star around that component's least node,
+    # where its members are in several components; members come with their exact distance d to that centre.
+    def label_of(found: DataFrame) -> DataFrame:
+        return stored(nodes.join(found, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("component")))
+
+    def mixed_of(members: DataFrame, label: DataFrame) -> DataFrame:
+        """The stars (a, node) with members in several components, with the largest."""
+        sizes = members.join(label.select("node", "component"), "node").groupBy("a", "component").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("a").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        return stored(mixed.select("a", F.col("top.component").alias("largest")))
+
+    label = label_of(found)
+    joined = stars.select("a", "b").join(label.select(F.col("node").alias("a"), F.col("component").alias("g")), "a")
+    joined = stored(joined.select("g", F.explode(F.array("a", "b")).alias("node")).union(joined.select("g", "g")).distinct().withColumnRenamed("g", "a"))
+    mixed = mixed_of(joined, label)
+    stars = compared(joined.join(mixed, "a").where("node <> a").select("a", F.col("node").alias("b")), docs, shingle)
+    centre = stars.select(F.col("a").alias("node")).distinct().withColumn("a", F.col("node")).select("a", "node", F.lit(0.0).alias("d"))
+    members = stored(centre.union(stars.groupBy("a", F.col("b").alias("node")).agg(F.min(1 - F.col("both") / F.col("either")).alias("d"))))
+    near = _recentred(stars)
+    second = near.where((F.col("node") != F.col("c2")) & _linked(percent)).select(F.col("c2").alias("a"), F.col("node").alias("b"))
+    edges = stored(edges.union(stars.where(links).select("a", "b")).union(second).distinct())
+    found = components(edges)
+    label = label_of(found)
+    mixed = mixed_of(members.select("a", "node"), label)
+    reach = 1 - percent / 100 + 1e-9
+    rest = _by_difference(near.join(mixed.select("a"), "a"), label, percent)
+    members = members.join(label.select("node", "component"), "node")
+
+    rows = members.where(F.col("d") > CLOSE - reach).join(mixed, "a").withColumn("cell", F.floor(F.col("d") / reach)).join(label.select("node", "n", "bits"), "node")
+    p = rows.where("component <> largest").select("a", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("cell"), *(F.col(c).alias(f"p_{c}") for c in ("node", "component", "n", "d", "bits")))
+    q = rows.select("a", "cell", "largest", *(F.col(c).alias(f"q_{c}") for c in ("node", "component", "n", "d", "bits")))
+    once = (F.col("q_component") == F.col("largest")) | (F.col("p_node") < F.col("q_node"))
+    far = p.join(q, (p.a == q.a) & (p.cell == q.cell) & once & _possible(percent)).select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b"))
+    rest = stored(rest.union(far).distinct())
     if not rest.isEmpty():
-        more = stored(confirmed(rest, docs, shingle, percent))
+        more = compared(rest, docs, shingle).where(links).select("a", "b")
         if not more.isEmpty():
             found = components(edges.union(more))
 
