@@ -333,7 +333,8 @@ def test_windows_cover_every_subsequence_once_by_its_two_least_tokens():
     rng = np.random.default_rng(11)
     tokens = rng.integers(0, 2**63, 40).astype(np.uint64)
     heads, least = np.array([0, 0, 25, 40]), 6
-    rows, keys = substring_dup.windows(tokens, heads, least, 0)
+    rows, keys, places = substring_dup.windows(tokens, heads, least, 0)
+    assert (places < np.diff(heads)[rows]).all()
     low = np.uint64(0xFFFFFF)
     h = [(substring_dup.mix(tokens ^ substring_dup.mix(np.array([f + 1], np.uint64))) & ~low) for f in range(2)]
     want = set()
