@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,6 +49,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWER
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, each with its UTF-8 bytes and row offsets; null is empty."""
     for batch in batches:
@@ -63,9 +72,10 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    release()
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, step: int = 1 << 20, suffix: bool = False):
+def word_hashes(data: np.ndarray, off: np.ndarray, step: int = 1 << 18, suffix: bool = False):
     """A 64-bit hash of every word of the rows and the words' offsets by row.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. suffix: also a hash of each word's last 3 bytes."""

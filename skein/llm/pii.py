@@ -38,7 +38,7 @@ from skein.llm._common import bounded_batches, stored, text_chunks
 
 KINDS = ("email", "ip", "card", "phone", "term")
 RADIUS, MIN_SUPPORT, MIN_DOCS, GENERALISE, REMOVE = 6, 4, 3, 0.9, 0.99
-FLUSH = 300_000
+FLUSH = 150_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")

@@ -35,7 +35,7 @@ from skein.llm._common import bounded_batches, mix, text_chunks
 
 MODEL_FILE = "piece_bpe_32k.model"
 #: Distinct units whose filters a worker keeps, and the longest of them.
-KEPT_UNITS, KEPT_LENGTH = 300_000, 64
+KEPT_UNITS, KEPT_LENGTH = 100_000, 64
 META = "▁"
 UNIT = re.compile(r" *[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +")
 
@@ -237,7 +237,7 @@ class Pieces:
                 out[to[r] - width[r] : to[r]] = self.bytes_of[-2 - piece[r]]
             piece = out
         del share, ids, back, first
-        if len(self.last) > KEPT_UNITS or len(self.ids) > 30 * KEPT_UNITS:
+        if len(self.last) > KEPT_UNITS or len(self.ids) > 20 * KEPT_UNITS:
             self.clear()
         return piece.astype(np.int32), heads
 
@@ -257,7 +257,7 @@ def load(model_file: str | None = None, theta: float = 0.6) -> Pieces:
 def _encode(pieces: list[str], kinds: list[str], theta: float, names: list[str], check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(pieces, kinds, theta)
-        for batch, _, _ in text_chunks(batches, limit=1 << 20):
+        for batch, _, _ in text_chunks(batches, limit=1 << 19):
             text = batch.column(batch.schema.get_field_index("text"))
             texts = text.to_pylist()
             keys = np.asarray(batch.column(batch.schema.get_field_index("row_key")).to_numpy()).view(np.uint64)

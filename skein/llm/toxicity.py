@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts_by["w"][toxic].update(once)
             texts_by["p"][toxic].update({w[:PREFIX] for w in once if len(w) > PREFIX})
             texts_by["all"][toxic][""] += 1
-        if len(times[0]) + len(times[1]) > 300_000:
+        if len(times[0]) + len(times[1]) > 150_000:
             yield from flush()
     yield from flush()
 
