@@ -362,3 +362,11 @@ def test_planted_passages_are_found_and_others_are_not(spark):
     one = next(r for r in got if {r["doc_id"], r["other_id"]} == {100, 103})["passages"][0]
     assert (one["end_word"] - one["first_word"], one["first_word"]) == (60, 33)
     assert substring_dup.repeated_passages(table(spark, rows).where("false")).collect() == []
+
+
+def test_a_passage_that_begins_with_a_line_repeated_in_the_centre_is_confirmed():
+    rng = np.random.default_rng(13)
+    line, tail, other, apart = (rng.integers(0, 2**32, n).astype(np.uint32) for n in (36, 25, 36, 30))
+    for a, b in (([line, apart, line, tail], [line, tail]), ([line, apart, other, apart[::-1], line, other], [line, other])):
+        a, b = np.concatenate(a), np.concatenate(b)
+        assert [(p[0], p[1], p[3], p[4]) for p in substring_dup.passages(a, b)] == [(0, len(b) + substring_dup.SHINGLE - 1, len(a) + substring_dup.SHINGLE - 1, 1.0)]
