@@ -370,3 +370,25 @@ def test_a_passage_that_begins_with_a_line_repeated_in_the_centre_is_confirmed()
     for a, b in (([line, apart, line, tail], [line, tail]), ([line, apart, other, apart[::-1], line, other], [line, other])):
         a, b = np.concatenate(a), np.concatenate(b)
         assert [(p[0], p[1], p[3], p[4]) for p in substring_dup.passages(a, b)] == [(0, len(b) + substring_dup.SHINGLE - 1, len(a) + substring_dup.SHINGLE - 1, 1.0)]
+
+
+def behind_a_line(rng, wide, first, n, lower, tail, edit=False):
+    """n pairs of documents that share a line of 45 words and `tail` more, each after `lower` documents with the line only."""
+    rows, want = [], set()
+    for k in range(n):
+        line, more = words(rng, 45, wide), words(rng, tail, wide)
+        ids = list(range(first + (lower + 2) * k, first + (lower + 2) * (k + 1)))
+        rows += [(i, " ".join([*words(rng, 20, wide), *line, *words(rng, 20, wide)]), "en") for i in ids[:lower]]
+        for i in ids[lower:]:
+            part = [*line, *more]
+            if edit and i == ids[-1]:
+                part[rng.randrange(len(part))] = "edited"
+            rows.append((i, " ".join([*words(rng, 20, wide), *part, *words(rng, 20, wide)]), "en"))
+        want.add(frozenset(ids[lower:]))
+    return rows, want
+
+
+def test_passages_behind_a_frequent_line_are_linked(spark):
+    rng = random.Random(14)
+    rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 25, 30, 8)
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
