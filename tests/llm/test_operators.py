@@ -388,7 +388,24 @@ def behind_a_line(rng, wide, first, n, lower, tail, edit=False):
     return rows, want
 
 
+def beside_a_fragment(rng, wide, first, n):
+    """n triples: the first shares a passage with the second and holds a part of another one that the second and third share."""
+    rows, want = [], set()
+    for i in range(first, first + 3 * n, 3):
+        p, q = words(rng, 60, wide), words(rng, 54, wide)
+        for j, parts in enumerate(([p, q[5:47]], [p, q], [q])):
+            rows.append((i + j, " ".join(w for x in parts for w in [*words(rng, 20, wide), *x]) + " " + " ".join(words(rng, 20, wide)), "en"))
+        want |= {frozenset((i, i + 1)), frozenset((i + 1, i + 2))}
+    return rows, want
+
+
 def test_passages_behind_a_frequent_line_are_linked(spark):
     rng = random.Random(14)
     rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 25, 30, 8)
     assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
+
+
+def test_passages_are_linked_though_another_is_shared_with_the_centre(spark):
+    rng = random.Random(15)
+    rows, want = beside_a_fragment(rng, [f"w{i}" for i in range(20_000)], 0, 100)
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
