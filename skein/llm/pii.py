@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by linear scans. The method adds terms: words
 near a protected value that give it away. Over the whole corpus it is counted how often a term stands within RADIUS words of each
-protected value, n(t, v), and how often it occurs at all, n(t). With P(v | t) = n(t, v) / n(t), the information content
+protected value, n(t, v), and how often it occurs at all, n(t), copies of a text counted once in both. With P(v | t) = n(t, v) / n(t), the information content
 I(v) = -log2 P(v) and the pointwise mutual information PMI(t; v) = log2(P(v | t) / P(v)), a term discloses v where
 
     PMI(t; v) / I(v) >= GENERALISE    (at 1 the term alone identifies the value)
@@ -13,7 +13,7 @@ protected values stay as they are.
 
 Plan: one pass finds base spans and window terms (at most 2 * RADIUS a span, linear in the text); word counts of the corpus are
 summed within a partition, then across; the counts meet only the terms near protected values (a shuffled join on the term's hash).
-Nothing unbounded is broadcast or collected.
+Of texts that occur more than once one row is counted. Nothing unbounded is broadcast or collected.
 
 Defined results: null text has no spans (sanitised: null); empty text has none; repeated rows give equal rows and count as one
 document; the span's offsets are code points, end exclusive; extra columns are kept by `sanitised`, ignored by `find_pii`; an
@@ -163,7 +163,11 @@ def disclosing(docs: DataFrame, scans: DataFrame) -> DataFrame:
     # Every copy of a text has the same key and counts once.
     once = stored(scans.where(F.size("near") > 0).select("key", F.inline("near")).distinct())
     pairs = once.groupBy("term", "value").agg(F.count("*").alias("both"), F.count_distinct("key").alias("texts")).where((F.col("both") >= MIN_SUPPORT) & (F.col("texts") >= MIN_DOCS))
-    total = stored(docs.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    # One row of each text is counted; only texts that occur more than once are shuffled, reduced within a partition first.
+    copied = stored(scans.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    texts = docs.select("key", "text")
+    one = texts.join(copied, "key", "left_anti").union(texts.join(copied, "key", "left_semi").dropDuplicates(["key"]))
+    total = stored(one.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     words = total.agg(F.sum("n")).first()[0] or 0
     around = once.groupBy("value").agg(F.count("*").alias("around"))
     odds = pairs.join(total, "term").join(around, "value")

@@ -228,6 +228,15 @@ def test_revealing_terms_are_found_and_texts_sanitised(spark):
     assert pii.find_pii(docs.where("false")).collect() == [] and pii.sanitised(docs.where("false")).collect() == []
 
 
+def test_copies_of_a_text_count_once_beside_a_value(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join([*words(rng, 12, VOCAB), "zorblax", "ann@b.org", *words(rng, 12, VOCAB)]), "en") for i in range(4)]
+    rows += [(10 + i, rows[0][1], "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(words(rng, 40, VOCAB)), "en") for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(table(spark, rows)).collect()}
+    assert len(got) == len(rows) and all("term" in got[i] for i in [*range(4), *range(10, 310)])
+
+
 # --- language model
 
 
