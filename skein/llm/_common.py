@@ -56,12 +56,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, each with its UTF-8 bytes and row offsets; null is empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        arr = batch.column(batch.schema.get_field_index(column))
+        arr = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
         if arr.null_count:
             arr = arr.fill_null("")
         width = 8 if pa.types.is_large_string(arr.type) else 4

@@ -171,24 +171,69 @@ def test_pieces_round_trip_and_are_reproducible(spark):
 
 def test_pieces_are_sampled_by_their_weight():
     m = sentencepiece.load()
+    vocab = {bytes(m.raw[m.raw_end[i] - m.raw_len[i] : m.raw_end[i]]).decode(): (int(i), w) for i, w in zip(m.piece, m.weight, strict=True)}
     unit = " there"
 
     def paths(b):
         if b == len(unit):
             yield (), 1.0
         for e in range(b + 1, len(unit) + 1):
-            if unit[b:e] in m.vocab:
-                i, x = m.vocab[unit[b:e]]
+            if unit[b:e] in vocab:
+                i, x = vocab[unit[b:e]]
                 for p, y in paths(e):
                     yield (i, *p), x * y
 
     want = dict(paths(0))
     total, n = sum(want.values()), 40_000
-    ids, heads = m.encode(["there"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919))
+    ids, heads, _ = m.encode(["there"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919))
     seen = Counter(tuple(ids[a:b].tolist()) for a, b in zip(heads[:-1], heads[1:], strict=True))
     assert all(abs(seen[k] / n - v / total) < 5 * math.sqrt(v / total / n) + 1e-4 for k, v in want.items())
 
 
+def test_shares_of_a_unit_do_not_depend_on_its_neighbours(spark):
+    def lattice(m, unit):
+        c = sentencepiece.code_points(unit)
+        last = int(m._lasts(c, np.array([0]), np.array([len(c)]))[0])
+        first = int(last - len(c) + 1)
+        edges = slice(m.first[first], m.first[last + 1] if last + 1 < m.nodes else m.edges)
+        return m.share[edges].tobytes(), m.ids[edges].tobytes()
+
+    rng = random.Random(4)
+    units = [" " + "".join(rng.choice("abcdefghiéß漢") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    alone, together = sentencepiece.load(), sentencepiece.load()
+    together.encode([u[1:] for u in units], np.arange(len(units), dtype=np.uint64))
+    together.encode([u[1:] + " x" for u in reversed(units)], np.arange(len(units), dtype=np.uint64))
+    for u in units:
+        assert lattice(alone, u) == lattice(together, u)
+    a, b = alone.encode(units, np.arange(300, dtype=np.uint64)), together.encode(units, np.arange(300, dtype=np.uint64))
+    assert all((x == y).all() for x, y in zip(a, b, strict=True)) and a[2].all()
+    long = sentencepiece.load().encode(["x" * 5000 + "\U0010ffff" * 3000], np.array([1], np.uint64))
+    assert long[2].all()
+
+
+def test_pieces_survive_a_shared_hash(monkeypatch):
+    m = sentencepiece.load()
+    m.known, m.last = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    real, calls = m.add, []
+
+    def wrong(c, begins, ends):
+        calls.append(len(begins))
+        lasts = real(c, begins, ends)
+        return np.full_like(lasts, lasts[0]) if len(calls) == 1 else lasts
+
+    monkeypatch.setattr(m, "add", wrong)
+    ids, heads, same = m.encode(["some other words", "here"], np.array([1, 2], np.uint64))
+    assert same.all() and m.salt == 1 and [m.decode(ids[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)] == ["some other words", "here"]
+
+
+def test_pieces_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "k", 5, "x", None), (None, None, None, None, None, None)], "doc_id long, text string, row_key string, c0 int, `a.b` string, lossless string")
+    got = sentencepiece.encode(df, check=True)
+    assert got.columns == ["doc_id", "text", "row_key", "c0", "a.b", "piece_ids", "lossless"]
+    first = got.where("doc_id = 1").first()
+    assert (first["row_key"], first["c0"], first["a.b"], first["lossless"]) == ("k", 5, "x", True) and sentencepiece.encode(df.drop("lossless")).columns[-1] == "piece_ids"
+
+
 # --- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
