@@ -154,6 +154,55 @@ def test_language_of_held_out_texts_and_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.language_id(table(spark, rows), F.lit(False)).collect()} == {"und"}
 
 
+def brute_language(rows, held):
+    """Word-first backoff as defined, over everything at once."""
+    tok = lambda t: "".join(x if x.isalpha() else " " for x in (t or "").lower()).split()
+    grams = lambda w, n: [f"\x02{w}\x03"[i : i + n] for i in range(len(w) + 3 - n)]
+    count, gram = {}, {}
+    for i, t, lang in rows:
+        if lang is not None and not held(i):
+            count.setdefault(lang, Counter()).update(tok(t))
+    langs = sorted(lang for lang in count if count[lang])
+    for lang in langs:
+        gram[lang] = Counter(g for w in count[lang] for n in range(1, 5) for g in grams(w, n))
+    v, g = len(set().union(*count.values())), len(set().union(*gram.values()))
+    log = lambda c, x, n: [math.log((c[a][x] + 0.5) / (sum(c[a].values()) + n / 2)) for a in langs]
+    out = {}
+    for i, t, _ in rows:
+        total = [0.0] * len(langs)
+        for w in tok(t):
+            if any(w in count[a] for a in langs):
+                add = log(count, w, v)
+            else:
+                m, got = f"\x02{w}\x03", []
+                for k in range(len(m)):
+                    found = next((m[k : k + n] for n in range(min(4, len(m) - k), 0, -1) if any(m[k : k + n] in gram[a] for a in langs)), None)
+                    if found:
+                        got.append(log(gram, found, g))
+                add = [sum(x) / len(got) for x in zip(*got, strict=True)] if got else [0.0] * len(langs)
+            total = [a + b for a, b in zip(total, add, strict=True)]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        out[i] = (langs[best], 1 / sum(math.exp(x - total[best]) for x in total)) if tok(t) else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("cells", [0, 60, 400_000])
+def test_language_matches_brute_force_whatever_is_broadcast(spark, monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    monkeypatch.setattr(language_id, "BROADCAST_GRAMS", 0 if cells == 60 else 500_000)
+    monkeypatch.setattr(language_id, "FLUSH", 40)
+    rng = random.Random(cells)
+    syllables = {"aa": ["ba", "la", "mi", "ñu"], "bb": ["krz", "pst", "vlk", "ô"], "cc": ["ba", "vlk", "xu", "漢"]}
+    rows = [(i, " ".join("".join(words(rng, rng.randint(1, 3), syllables[lang])) for _ in range(rng.randint(1, 12))), lang) for i, lang in enumerate("aa bb cc".split() * 40)]
+    rows += [(500, "BALA Mi2ba _vlk_ ǅx", None), (501, "½ ² ①", "aa"), (502, None, "bb"), (503, "", None), (504, "ωψ ж", None), (505, "zzz " * 300, None)]
+    held = lambda i: i % 4 == 2
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(table(spark, rows), F.col("doc_id") % 4 != 2).collect()}
+    want = brute_language(rows, held)
+    assert set(got) == set(want) and got[501] == ("und", 0.0)
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6, i
+
+
 # --- pieces
 
 
