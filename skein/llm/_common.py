@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time.
@@ -153,6 +153,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the rows of one key are dealt where both sides of a join are too large to broadcast.
+SALTS = 32
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, salt: Column, small: bool) -> DataFrame:
+    """left joined to right, which has one row a key: by broadcast where right is known to be small, otherwise by a shuffle in which the
+    rows of a hot key are dealt to SALTS tasks by `salt`, and right's row goes to each."""
+    if small:
+        return left.join(F.broadcast(right), on, how)
+    right = right.withColumn("salt of the key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt of the key", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(right, [*on, "salt of the key"], how).drop("salt of the key")
+
+
 def frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     """The rows with the largest counts, as many whole steps of a sixteenth octave as stay within `limit` rows.
 

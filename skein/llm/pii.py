@@ -1,44 +1,50 @@
 """PII: base patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by linear scans. The method adds terms: words
-near a protected value that give it away. Over the whole corpus it is counted how often a term stands within RADIUS words of each
-protected value, n(t, v), and how often it occurs at all, n(t), copies of a text counted once in both. With P(v | t) = n(t, v) / n(t), the information content
-I(v) = -log2 P(v) and the pointwise mutual information PMI(t; v) = log2(P(v | t) / P(v)), a term discloses v where
+that give a protected value away. Over the whole corpus it is counted how often a term stands within RADIUS words of each
+protected value, n(t, v), and how often it occurs at all, n(t), copies of a text counted once in both. With P(v | t) = n(t, v) / (n(t) + SHRINK),
+the information content I(v) = -log2 P(v), where P(v) is the share of words near v, and the pointwise mutual information
+PMI(t; v) = log2(P(v | t) / P(v)), a term discloses v where
 
-    PMI(t; v) / I(v) >= GENERALISE    (at 1 the term alone identifies the value)
+    PMI(t; v) / I(v) >= GENERALISE    (towards 1 the term alone identifies the value)
 
-given at least MIN_SUPPORT joint occurrences in MIN_DOCS documents of different text. Terms at REMOVE or above are removed, those
-below are generalised. A term is treated where it stands near the value it discloses, and nowhere else, so documents without
-protected values stay as they are.
+SHRINK stands for occurrences not seen: one joint occurrence leaves a bit in doubt, which is much in a small corpus and little in a large
+one, so values that occur only once are protected too, by the terms that occur hardly anywhere else. Terms at REMOVE or above are
+removed, those below are generalised. A term is treated everywhere in the texts that hold the value it discloses, and nowhere else, so
+documents without protected values stay as they are.
 
 Plan: one pass finds base spans and window terms (at most 2 * RADIUS a span, linear in the text); word counts of the corpus are
 summed within a partition, then across; the counts meet only the terms near protected values (a shuffled join on the term's hash).
-Of texts that occur more than once one row is counted. Nothing unbounded is broadcast or collected.
+Of texts that occur more than once one row is counted. Texts with disclosing terms are read once more to find their places. What
+is broadcast is counted first; beyond the limit the join is a shuffle that deals the rows of a hot text to many tasks.
 
 Defined results: null text has no spans (sanitised: null); empty text has none; repeated rows give equal rows and count as one
-document; the span's offsets are code points, end exclusive; extra columns are kept by `sanitised`, ignored by `find_pii`; an
-empty table gives an empty result.
+document; texts of any length are read whole; a span's offsets are code points, end exclusive; extra columns of any name are kept by
+`sanitised`, ignored by `find_pii`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._common import bounded_batches, stored, text_chunks
+from skein.llm._common import bounded_batches, joined, stored, text_chunks
 
 KINDS = ("email", "ip", "card", "phone", "term")
-RADIUS, MIN_SUPPORT, MIN_DOCS, GENERALISE, REMOVE = 6, 4, 3, 0.9, 0.99
+RADIUS, SHRINK, GENERALISE, REMOVE = 6, 1, 0.9, 0.98
 FLUSH = 150_000
+#: Rows, or list entries, of at most 24 bytes that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -86,26 +92,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def window_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
-    """(begin, end, term, value) of the terms within RADIUS words of a span, outside all spans."""
-    out = []
+    """(begin, end, term, value) of the terms within RADIUS terms of a span, outside all spans."""
     taken = sorted((b, e) for b, e, _ in spans)
-    begins = [b for b, _ in taken]
-    reach = []
-    for _, e in taken:
-        reach.append(max(e, reach[-1] if reach else 0))
-
-    def free(b: int, e: int) -> bool:
-        i = int(np.searchsorted(begins, e)) - 1  # spans that begin before e
-        return i < 0 or reach[i] <= b
-
+    begins, reach = [b for b, _ in taken], list(accumulate((e for _, e in taken), max))
+    terms = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+    free = []
+    for b, e in terms:
+        i = bisect_left(begins, e) - 1  # spans that begin before e
+        free.append(i < 0 or reach[i] <= b)
+    first, last = [b for b, _ in terms], [e for _, e in terms]
+    out = []
     for b, e, kind in spans:
         value = f"{kind}:{text[b:e].lower()}"
-        after = _TERM.finditer(text, e, min(len(text), e + 40 * RADIUS))
-        left = max(0, b - 40 * RADIUS)
-        before = list(_TERM.finditer(text, left, b))[-RADIUS:]
-        for m in [*before, *(m for m, _ in zip(after, range(RADIUS)))]:
-            if free(m.start(), m.end()):
-                out.append((m.start(), m.end(), m[0].lower(), value))
+        before, after = bisect_right(last, b), bisect_left(first, e)
+        out += [(*terms[i], text[first[i] : last[i]].lower(), value) for i in [*range(max(0, before - RADIUS), before), *range(after, min(after + RADIUS, len(terms)))] if free[i]]
     return out
 
 
@@ -158,24 +158,58 @@ def scanned(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "key", "text").mapInArrow(_scan, fields))
 
 
-def disclosing(docs: DataFrame, scans: DataFrame) -> DataFrame:
-    """key, places: of each text the terms that disclose a protected value near them, as structs (first, last, removed)."""
+def risky_terms(docs: DataFrame, scans: DataFrame) -> DataFrame:
+    """key, terms: of each text the hashes of the terms that disclose one of its values, as structs (term, removed)."""
     # Every copy of a text has the same key and counts once.
     once = stored(scans.where(F.size("near") > 0).select("key", F.inline("near")).distinct())
-    pairs = once.groupBy("term", "value").agg(F.count("*").alias("both"), F.count_distinct("key").alias("texts")).where((F.col("both") >= MIN_SUPPORT) & (F.col("texts") >= MIN_DOCS))
+    pairs = once.groupBy("term", "value").agg(F.count("*").alias("both"))
     # One row of each text is counted; only texts that occur more than once are shuffled, reduced within a partition first.
     copied = stored(scans.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    texts = docs.select("key", "text")
-    one = texts.join(copied, "key", "left_anti").union(texts.join(copied, "key", "left_semi").dropDuplicates(["key"]))
-    total = stored(one.select("text").mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    texts, small = docs.select("doc_id", "key", "text"), copied.count() <= BROADCAST_ROWS
+    single, several = (joined(texts, copied, ["key"], how, F.col("doc_id"), small) for how in ("left_anti", "left_semi"))
+    one = single.select("text").union(several.dropDuplicates(["key"]).select("text"))
+    total = stored(one.mapInArrow(_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     words = total.agg(F.sum("n")).first()[0] or 0
     around = once.groupBy("value").agg(F.count("*").alias("around"))
     odds = pairs.join(total, "term").join(around, "value")
     p = F.least(F.col("around") / F.lit(float(max(words, 1))), F.lit(0.5))
-    strength = 1 + F.log2(F.least(F.col("both") / F.col("n"), F.lit(1.0))) / -F.log2(p)
-    risky = odds.withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("term", "value", "strength")
-    hits = once.join(risky, ["term", "value"]).groupBy("key", "first", "last").agg(F.max("strength").alias("strength"))
-    return hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last", (F.col("strength") >= REMOVE).alias("removed")))).alias("places"))
+    strength = 1 + F.log2(F.col("both") / F.greatest("both", F.col("n") + SHRINK)) / -F.log2(p)
+    risky = stored(odds.withColumn("strength", strength).where(F.col("strength") >= GENERALISE).select("term", "value", "strength"))
+    held = once.select("key", "value", "term").distinct()
+    hits = joined(held, risky, ["term", "value"], "inner", F.col("key"), risky.count() <= BROADCAST_ROWS)
+    hits = hits.groupBy("key", "term").agg(F.max("strength").alias("strength"))
+    return stored(hits.groupBy("key").agg(F.collect_list(F.struct("term", (F.col("strength") >= REMOVE).alias("removed"))).alias("terms")))
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the texts hold their disclosing terms, outside base spans."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("removed", pa.bool_())]))
+    for batch, _, _ in text_chunks(batches):
+        out = []
+        for text, terms in zip(_texts(batch), batch.column(batch.schema.get_field_index("terms")).to_pylist(), strict=True):
+            removed = {t["term"]: t["removed"] for t in terms}
+            taken = sorted((b, e) for b, e, _ in base_spans(text))
+            begins, reach = [b for b, _ in taken], list(accumulate((e for _, e in taken), max))
+            known: dict[str, int] = {}
+            here = []
+            for m in _TERM.finditer(text):
+                word = m[0].lower()
+                h = known.get(word)
+                if h is None:
+                    h = known[word] = _hash(word)
+                if h in removed and ((i := bisect_left(begins, m.end()) - 1) < 0 or reach[i] <= m.start()):
+                    here.append({"first": m.start(), "last": m.end(), "removed": removed[h]})
+            out.append(here)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), pa.array(out, kind)], names=["key", "places"])
+
+
+def disclosing(docs: DataFrame, scans: DataFrame) -> tuple[DataFrame, bool]:
+    """key, places: of each text that has some the places of terms to treat, as structs (first, last, removed); whether these are few."""
+    terms = risky_terms(docs, scans)
+    size = terms.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    few = joined(docs.select("doc_id", "key", "text"), terms, ["key"], "inner", F.col("doc_id"), size <= BROADCAST_ROWS).dropDuplicates(["key"])
+    places = stored(few.select("key", "text", "terms").mapInArrow(_place, "key long, places array<struct<first: int, last: int, removed: boolean>>"))
+    return places, places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= BROADCAST_ROWS
 
 
 def _listed(spans: list) -> str:
@@ -199,15 +233,20 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in same), pa.array(sha, pa.string()), pa.array(spans, pa.string())], names=[*same, "base_sha256", "spans"])
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, _, _ in text_chunks(batches):
-        out = []
-        at = batch.schema.get_field_index("text")
-        for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("places")).to_pylist(), strict=True):
-            spans = None if text is None else _ordered(base_spans(text), places)
-            out.append(masked(text, spans, {(p["first"], p["last"]): p["removed"] for p in places or []}) if spans else text)
-        keep = [c for c in batch.schema.names if c != "places"]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in keep], names=keep)
+def _mask(text_at: int):
+    """Of batches whose last column holds the places: the columns before it, with the text sanitised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in text_chunks(batches, text_at):
+            out = []
+            for text, places in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                spans = None if text is None else _ordered(base_spans(text), places)
+                out.append(masked(text, spans, {(p["first"], p["last"]): p["removed"] for p in places or []}) if spans else text)
+            columns = batch.columns[:-1]
+            columns[text_at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
 
 
 def masked(text: str, spans: list, removed: dict) -> str:
@@ -231,21 +270,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of docs (doc_id, text). No text is shuffled."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of docs (doc_id, text)."""
     docs = _keyed(docs)
     scans = scanned(docs)
-    found = scans.drop("near").join(disclosing(docs, scans), "key", "left")
+    places, small = disclosing(docs, scans)
+    found = joined(scans.drop("near"), places, ["key"], "left", F.col("doc_id"), small)
     return found.mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with values replaced by [KIND], disclosing terms by [TERM] or nothing; all columns stay, n_chars (if there) is set anew."""
-    columns = docs.columns
+    names = docs.columns
     keyed = _keyed(docs)
-    places = disclosing(keyed, scanned(keyed))
-    rows = docs.withColumn("key", F.xxhash64(F.col("text").cast("string"))).join(places, "key", "left").drop("key")
-    out = rows.mapInArrow(_mask, T.StructType([f for f in rows.schema.fields if f.name != "places"]))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*columns)
+    places, small = disclosing(keyed, scanned(keyed))
+    text_at = names.index("text")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn(f"c{text_at}", F.col(f"c{text_at}").cast("string"))
+    fields = T.StructType(rows.schema.fields)
+    rows = joined(rows.withColumn("key", F.xxhash64(f"c{text_at}")), places, ["key"], "left", F.col(f"c{names.index('doc_id')}"), small).select(*fields.names, "places")
+    out = rows.mapInArrow(_mask(text_at), fields)
+    if "n_chars" in names:
+        out = out.withColumn(f"c{names.index('n_chars')}", F.length(f"c{text_at}").cast("long"))
+    return out.toDF(*names)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,69 @@ def test_copies_of_a_text_count_once_beside_a_value(spark):
     assert len(got) == len(rows) and all("term" in got[i] for i in [*range(4), *range(10, 310)])
 
 
+def brute_disclosing(texts):
+    """Of each distinct text the places (first, last, removed) of disclosing terms, by the definition."""
+    near, total, held = Counter(), Counter(), {}
+    around = Counter()
+    for t in set(texts):
+        base = brute_spans(t)
+        terms = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+        total.update(t[b:e].lower() for b, e in terms)
+        free = lambda p: all(p[1] <= b or e <= p[0] for b, e, _ in base)  # noqa: E731, B023
+        for b, e, kind in base:
+            v = f"{kind}:{t[b:e].lower()}"
+            for x, y in [p for p in terms if p[1] <= b][-pii.RADIUS :] + [p for p in terms if p[0] >= e][: pii.RADIUS]:
+                if free((x, y)):
+                    held.setdefault((v, t[x:y].lower()), set()).add((t, x, y))
+    for (v, w), places in held.items():
+        near[v, w] = len(places)
+        around[v] += len(places)
+    n, out = sum(total.values()), {t: {} for t in texts}
+    for (v, w), places in held.items():
+        p = min(around[v] / n, 0.5)
+        strength = 1 + math.log2(near[v, w] / max(near[v, w], total[w] + pii.SHRINK)) / -math.log2(p)
+        if strength >= pii.GENERALISE:
+            for t in {t for t, *_ in places}:
+                base = brute_spans(t)
+                for m in re.finditer(r"[^\W\d_]{3,}", t):
+                    if m[0].lower() == w and all(m.end() <= b or e <= m.start() for b, e, _ in base):
+                        out[t][m.start(), m.end()] = out[t].get((m.start(), m.end()), False) or strength >= pii.REMOVE
+    return {t: sorted((*k, v) for k, v in x.items()) for t, x in out.items()}
+
+
+@pytest.mark.parametrize("limit", [500_000, -1])
+def test_disclosed_terms_match_their_definition(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", limit)
+    rng = random.Random(17)
+    values = ["ann@b.org", "10.0.0.7", "+49 (30) 123456-78", "bob@c.net", "4111 1111 1111 1111"]
+    names = ["zorblax", "Quinted", "vhauz", "ümlautig"]
+    rows = []
+    for i in range(150):
+        body = words(rng, rng.randint(5, 60), VOCAB)
+        for _ in range(rng.randint(0, 3) if i % 3 == 0 else 0):
+            k = rng.randrange(len(values))
+            body.insert(rng.randint(0, len(body)), f"{names[k % 4]} {values[k]}")
+        if i % 5 == 0:
+            body.append(rng.choice([*names, "onceword" + "abc"[i % 3] * i]))
+        rows.append((i, " ".join(body), "en"))
+    rows += [(500 + i, rows[3][1], "en") for i in range(30)] + [(600, None, "en"), (601, "", "en"), (602, "lone hapaxa 1.2.3.4 " + "- 7 " * 3000 + "farawayword", "en")]
+    want = brute_disclosing([t for _, t, _ in rows if t])
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(table(spark, rows)).collect()}
+    for i, t, _ in rows:
+        spans = sorted([*brute_spans(t or ""), *((b, e, "term") for b, e, _ in want.get(t, []))], key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert got[i] == ",".join(f"{k}:{b}:{e}" for b, e, k in spans), t
+    assert sum(map(len, want.values())) > 15 and len(want[rows[-1][1]]) == 3
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(table(spark, rows)).collect()}
+    assert all(t == clean[i] for i, t, _ in rows if not t or not (brute_spans(t) or want[t])) and "hapaxa" not in clean[602]
+
+
+def test_sanitised_keeps_clashing_columns(spark):
+    names = ["key", "places", "salt of the key", "near", "c1", "a.b"]
+    df = spark.createDataFrame([(1, "mail ann@b.org", *names), (2, None, *[None] * 6)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r["doc_id"]: r for r in pii.sanitised(df).collect()}
+    assert pii.sanitised(df).columns == df.columns and [got[1][n] for n in names] == names and got[1]["text"].endswith("[EMAIL]") and got[2]["text"] is None
+
+
 # --- language model
 
 
