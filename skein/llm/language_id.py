@@ -35,7 +35,7 @@ CELLS = 400_000
 #: Distinct words of a map task that are summed before they are passed on.
 FLUSH = 500_000
 #: Rows (of about 40 bytes) up to which the counted n-grams are broadcast to the unseen words.
-BROADCAST_GRAMS = 500_000
+BROADCAST_GRAMS = 200_000
 #: Entries of a list that count words instead of naming a language: known ones, and unseen ones with some known n-gram.
 KNOWN, BACKED = -1, -2
 _STEP = np.uint64(0x9E3779B97F4A7C15)

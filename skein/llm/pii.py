@@ -8,7 +8,7 @@ PMI(t; v) = log2(P(v | t) / P(v)), a term discloses v where
 
     PMI(t; v) / I(v) >= GENERALISE    (towards 1 the term alone identifies the value)
 
-SHRINK stands for occurrences not seen: one joint occurrence leaves a bit in doubt, which is much in a small corpus and little in a large
+SHRINK stands for occurrences not seen: one joint occurrence leaves 1.3 bits in doubt, which is much in a small corpus and little in a large
 one, so values that occur only once are protected too, by the terms that occur hardly anywhere else. Terms at REMOVE or above are
 removed, those below are generalised. A term is treated everywhere in the texts that hold the value it discloses, and nowhere else, so
 documents without protected values stay as they are.
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from skein.llm._common import bounded_batches, joined, stored, text_chunks
 
 KINDS = ("email", "ip", "card", "phone", "term")
-RADIUS, SHRINK, GENERALISE, REMOVE = 6, 1, 0.9, 0.98
+RADIUS, SHRINK, GENERALISE, REMOVE = 6, 1.5, 0.9, 0.98
 FLUSH = 150_000
 #: Rows, or list entries, of at most 24 bytes that may be broadcast.
 BROADCAST_ROWS = 500_000
