@@ -153,17 +153,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Parts into which the rows of one key are dealt where both sides of a join are too large to broadcast.
-SALTS = 32
-
-
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, salt: Column, small: bool) -> DataFrame:
-    """left joined to right, which has one row a key: by broadcast where right is known to be small, otherwise by a shuffle in which the
-    rows of a hot key are dealt to SALTS tasks by `salt`, and right's row goes to each."""
+    """left joined to right, which has few rows a key: by broadcast where right is known to be small, otherwise by a shuffle in which no
+    key of left gathers in one task.
+
+    There a key with more than `hot` rows of left is split into parts of about that size, by `salt`, and right's rows go to each part. `hot`
+    is a ten-thousandth of left's rows, 500 at least, so the table of hot keys has at most 10,000 rows and is broadcast."""
     if small:
         return left.join(F.broadcast(right), on, how)
-    right = right.withColumn("salt of the key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt of the key", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(right, [*on, "salt of the key"], how).drop("salt of the key")
+    count = left.groupBy(*on).agg(F.count("*").alias("rows of the key"))
+    n = left.count()
+    hot = max(500, n // 10_000)
+    many = stored(count.where(F.col("rows of the key") > hot)) if n > hot else None
+    if many is None or many.isEmpty():
+        return left.join(right, on, how)
+    many = F.broadcast(many.select(*on, F.ceil(F.col("rows of the key") / hot).cast("int").alias("parts of the key")))
+    parts = F.coalesce("parts of the key", F.lit(1))
+    left = left.join(many, on, "left").withColumn("part of the key", F.pmod(F.xxhash64(salt), parts).cast("int")).drop("parts of the key")
+    right = right.join(many, on, "left").withColumn("part of the key", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts of the key")
+    return left.join(right, [*on, "part of the key"], how).drop("part of the key")
 
 
 def frequent(df: DataFrame, count: str, limit: int) -> DataFrame:

@@ -576,3 +576,42 @@ def test_passages_are_linked_though_another_is_shared_with_the_centre(spark):
     rng = random.Random(15)
     rows, want = beside_a_fragment(rng, [f"w{i}" for i in range(20_000)], 0, 100)
     assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
+
+
+def test_near_passages_behind_a_frequent_line_are_linked(spark):
+    rng = random.Random(21)
+    rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 60, 25, 15, edit=True)
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_near_passages_at_the_threshold_are_recalled(spark):
+    """Documents of several passages, with one line in all of them; each passage pair has a similarity of 0.8 to 1 by brute force."""
+    rng = random.Random(22)
+    wide = [f"w{i}" for i in range(30_000)]
+    line = words(rng, 30, wide)
+    docs, want = {i: [*words(rng, 15, wide), *line] for i in range(300)}, {}
+    for k in range(200):
+        p = words(rng, rng.randint(60, 160), wide)
+        q = list(p)
+        for at in rng.sample(range(8, len(p) - 8, 6), max(1, len(p) // 60)):
+            q[at] = "edited"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if similarity >= 0.8:
+            a, b = rng.sample(sorted(docs), 2)
+            for i, x in ((a, p), (b, q)):
+                docs[i] += [*x, *words(rng, 20, wide)]
+            want[frozenset((a, b))] = similarity
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, [(i, " ".join(w), "en") for i, w in docs.items()])).collect()}
+    assert len(want) > 100 and len(got & set(want)) >= 0.95 * len(want) and got <= set(want)
+
+
+def test_hot_keys_are_dealt_without_changing_links(spark):
+    rng = random.Random(23)
+    wide = [f"w{i}" for i in range(5000)]
+    hot = words(rng, 80, wide)
+    rows = [(i, " ".join([*words(rng, 20, wide), *hot]), "en") for i in range(1200)] + [(5000 + i, " ".join(words(rng, 90, wide)), "en") for i in range(20)]
+    got = {(r["doc_id"], r["other_id"]) for r in substring_dup.repeated_passages(table(spark, rows)).collect()}
+    # A few more share the word before the passage and so a key of their own.
+    assert {(i, 0) for i in range(1, 1200)} <= got and len(got) < 2500 and all(i < 1200 for p in got for i in p)
