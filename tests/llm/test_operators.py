@@ -105,6 +105,46 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert json.loads(by[3, "q"]["canonical_json"]) == {"arguments": None, "id": "q", "name": None, "result": None}
 
 
+def brute_order(calls):
+    """release, level, cyclic by peeling in Python; calls: id -> (turn, refs)."""
+    refs = {i: {r for r in rs if r in calls and r != i} for i, (_, rs) in calls.items()}
+    done = {}
+    while ready := [i for i in calls if i not in done and refs[i] <= set(done)]:
+        for i in ready:
+            release = max([calls[i][0], *(done[r][0] for r in refs[i])])
+            done[i] = (release, max([done[r][1] + 1 for r in refs[i] if done[r][0] == release], default=0), False)
+    return done | {i: (calls[i][0], 0, True) for i in calls if i not in done}
+
+
+@pytest.mark.parametrize("limit", [500_000, -1])
+def test_order_matches_peeling(spark, monkeypatch, limit):
+    monkeypatch.setattr(chat_format, "BROADCAST_ROWS", limit)
+    rng = random.Random(31)
+    rows, want = [], {}
+    for conv in range(25):
+        n = 60 if conv == 7 else rng.randint(1, 12)
+        calls = {f"k{i}": (rng.randint(0, n), [f"k{rng.randrange(n + 2)}" for _ in range(rng.choice([0, 0, 1, 1, 2]))]) for i in range(n)}
+        rows += [(conv, i, t, json.dumps({f"a{k}": f"${r}" for k, r in enumerate(rs)})) for i, (t, rs) in calls.items()]
+        found = brute_order(calls)
+        for k, i in enumerate(sorted(calls, key=lambda i: (found[i][2], found[i][0], found[i][1], calls[i][0], i)), 1):  # noqa: B023
+            want[conv, i] = (*found[i], k, any(r not in calls or r == i for r in calls[i][1]))
+    rows.append((None, None, 1, "{}"))
+    got = chat_format.ordered(spark.createDataFrame(rows, "conv_id long, call_id string, turn long, arguments string")).collect()
+    assert {(r["conv_id"], r["call_id"]): (r["release"], r["level"], r["cyclic"], r["position"], r["unknown_reference"]) for r in got} == want
+
+
+def test_the_query_reaches_every_case(spark):
+    rng = random.Random(32)
+    turns = [(c, t, "system" if t == 0 and c % 3 == 0 else ("user", "assistant")[t % 2], "x" * rng.randint(0, 40)) for c in range(150) for t in range(8)]
+    turns += [(500, 1, "assistant", None), (500, 2, None, "x"), (501, 0, "user", "x")]
+    out = chat_format.linked_calls(*chat_format.calls_and_results(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), chat_format.TOOLS).collect()
+    assert {r["status"] for r in out} == {"linked", "unanswered", "orphan_result", "result_before_call"}
+    assert any(r["cyclic"] for r in out) and any(r["release"] > r["turn"] for r in out) and any(r["n_calls"] > 1 for r in out) and any(r["errors"] for r in out)
+    place = {(r["conv_id"], r["call_id"]): r["position"] for r in out if not r["cyclic"]}
+    after = [((r["conv_id"], r["call_id"]), (r["conv_id"], json.loads(r["canonical_json"])["arguments"].get("after", "$")[1:])) for r in out if r["name"]]
+    assert all(place[a] > place[b] for a, b in after if a in place and b in place and a != b) and sum(b in place for _, b in after) > 50
+
+
 def test_chat_formatting_of_an_empty_table(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.linked_calls(*chat_format.calls_and_results(turns), chat_format.TOOLS).collect() == []
