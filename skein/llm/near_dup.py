@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._common import bounded_batches, components, mix, ngram_hashes, stored, text_chunks, word_hashes
+from skein.llm._common import bounded_batches, components, joined, mix, ngram_hashes, stored, text_chunks, word_hashes
 
 BINS = 256
 BANDS, ROWS = 25, 5
@@ -145,7 +145,7 @@ def compared(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items binary")
     sets = stored(sets.where(F.length("items") > 0))
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = first.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+    both = joined(first, sets.select(F.col("id").alias("a"), F.col("items").alias("x")), ["a"], "inner", F.col("b"), False).select("a", "b", "x", "y")
     return stored(both.mapInArrow(_compare, "a long, b long, both long, either long, size long, delta array<long>"))
 
 
@@ -166,7 +166,7 @@ def _recentred(stars: DataFrame) -> DataFrame:
     best = far.groupBy("a").agg(F.min(F.struct("far", "node")).alias("x")).select("a", F.col("x.node").alias("c2"))
     best = best.join(near.select("a", F.col("node").alias("c2"), F.col("n").alias("c"), F.col("delta").alias("own")), ["a", "c2"]).dropDuplicates(["a"])
     differ = F.concat(F.array_except("delta", "own"), F.array_except("own", "delta"))
-    return stored(near.join(best, "a").select("a", "node", "n", "c2", "c", differ.alias("delta")).withColumn("d", F.size("delta").cast("long")))
+    return stored(joined(near, stored(best), ["a"], "inner", F.col("node"), False).select("a", "node", "n", "c2", "c", differ.alias("delta")).withColumn("d", F.size("delta").cast("long")))
 
 
 def _by_difference(near: DataFrame, label: DataFrame, percent: int) -> DataFrame:
