@@ -54,10 +54,10 @@ class HashingEmbedder:
 
 
 def basic_tokens(text: str) -> list[str]:
-    """Lower-cased words and single punctuation marks."""
+    """Lower-cased words and single punctuation marks or symbols."""
     out, word = [], []
     for c in text.lower():
-        if c.isspace() or unicodedata.category(c).startswith("P") or (c.isascii() and not c.isalnum() and c.isprintable()):
+        if c.isspace() or unicodedata.category(c)[0] in "PS":
             if word:
                 out.append("".join(word))
                 word = []

@@ -213,6 +213,8 @@ def _leaf(x: Leaf, stats: dict[str, bm25.FieldStats]) -> tuple[Column, Column]:
         if x.kind == "term":
             return F.array_contains(name, x.words[0]), bm25.term_score(name, x.words[0], s, x.boost)
         found = F.size(near_positions(F.col(name), list(x.words), int(x.amount)) if x.amount else phrase_positions(F.col(name), list(x.words)))
+        # Places are looked for only in rows that have all words.
+        found = F.when(reduce(lambda a, b: a & b, (F.array_contains(name, w) for w in x.words)), found).otherwise(0)
         weight = reduce(lambda a, b: a + b, (bm25.idf(s, w) for w in x.words))
         return found > 0, F.when(found > 0, x.boost * weight * bm25.saturation(found, F.size(name), s.mean)).otherwise(0.0)
     if x.kind == "prefix":

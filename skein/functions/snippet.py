@@ -40,8 +40,9 @@ def window(passage: Column) -> Column:
 
 
 def snippet(text: Column, terms: list[str], matches_text: Column, full_text: bool = False) -> tuple[Column, Column]:
-    """(shown text, truncated): long texts that hold a term are cut, all others stay whole."""
+    """(shown text, truncated): long texts with a marked term within REACH are cut, all others stay whole."""
     if full_text or not terms:
         return text, F.lit(False)
-    cut = (F.length(text) > MIN_LENGTH) & matches_text
-    return F.when(cut, window(best_passage(text, terms))).otherwise(text), cut
+    passage = best_passage(text, terms)
+    cut = F.when((F.length(text) > MIN_LENGTH) & matches_text, F.instr(passage, OPEN) > 0).otherwise(False)
+    return F.when(cut, window(passage)).otherwise(text), cut

@@ -1,4 +1,7 @@
-"""The stored index: versioned snapshots of a chunk table and a file table behind a manifest that is swapped atomically.
+"""The stored index: versioned snapshots of a chunk table, its postings and a file table, each behind a manifest of its own number.
+
+A commit renames a complete manifest to a name that doesn't exist yet, which every file system does in one step or not at all; readers take the
+highest number. So there is always a whole index to read, and of two writers of one number the second fails.
 
 A pass compares checksums before anything is parsed, rewrites only changed paths (anti join and union) and drops paths that are gone. The
 file table has a row for every indexed file, also for those without chunks, so unchanged files are never parsed again."""
@@ -6,12 +9,17 @@ file table has a row for every indexed file, also for those without chunks, so u
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 3
+from skein.operators import postings
+
+SCHEMA_VERSION = 4
+#: Snapshots that stay for readers that have them open.
+KEPT = 3
 
 
 @dataclass(frozen=True)
@@ -64,11 +72,16 @@ class SnapshotStore:
         self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> dict[int, str]:
+        found = self._fs.globStatus(self._fs_path(f"{self.root}/manifest-*.json"))
+        names = [s.getPath().getName() for s in found or []]
+        return {int(n[len("manifest-") : -len(".json")]): n for n in names}
+
     def manifest(self) -> Manifest | None:
-        path = self._fs_path(f"{self.root}/manifest.json")
-        if not self._fs.exists(path):
+        found = self._manifests()
+        if not found:
             return None
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._fs_path(f"{self.root}/{found[max(found)]}"))
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -76,15 +89,17 @@ class SnapshotStore:
         return Manifest(**json.loads(text))
 
     def commit(self, manifest: Manifest) -> None:
-        """Writes the manifest beside the old one and renames it into place."""
-        new, path = self._fs_path(f"{self.root}/.manifest.new"), self._fs_path(f"{self.root}/manifest.json")
+        """Writes the manifest beside the old ones and renames it into place; older ones than the kept go afterwards."""
+        new, path = self._fs_path(f"{self.root}/.manifest-{uuid.uuid4().hex}"), self._fs_path(f"{self.root}/manifest-{manifest.version:09d}.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(asdict(manifest)).encode()))
         out.close()
-        if self._fs.exists(path):
-            self._fs.delete(path, False)
-        if not self._fs.rename(new, path):
+        if self._fs.exists(path) or not self._fs.rename(new, path):
+            self._fs.delete(new, False)
             raise OSError(f"can't write {path}")
+        for version, name in self._manifests().items():
+            if version <= manifest.version - KEPT:
+                self._fs.delete(self._fs_path(f"{self.root}/{name}"), False)
 
     def is_stale(self, model: str | None, dims: int | None) -> bool:
         m = self.manifest()
@@ -100,15 +115,20 @@ class SnapshotStore:
         return None if m is None else self.spark.read.parquet(f"{self.root}/v{m.version}/{name}")
 
     def write(self, chunks: DataFrame, files: DataFrame, model: str | None, dims: int | None, writes: int) -> Manifest:
-        """A new snapshot; the former one stays for readers that have it open, older ones go."""
+        """A new snapshot; KEPT of them stay for readers that have them open, older ones go."""
         was = self.manifest() or Manifest()
         now = Manifest(was.version + 1, SCHEMA_VERSION, model, dims, was.writes + writes)
         chunks.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/chunks")
         files.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/files")
+        postings.write(self.spark.read.parquet(f"{self.root}/v{now.version}/chunks"), f"{self.root}/v{now.version}")
         self.commit(now)
-        self._fs.delete(self._fs_path(f"{self.root}/v{now.version - 2}"), True)
+        self._fs.delete(self._fs_path(f"{self.root}/v{now.version - KEPT}"), True)
         return now
 
+    def ranked(self, terms: list[str], n: int, prefix: str | None = None) -> DataFrame:
+        """path, chunk_no, score of the n best chunks, from the postings."""
+        return postings.ranked(self.spark, f"{self.root}/v{self.manifest().version}", terms, n, prefix)
+
     def known_checksums(self) -> DataFrame | None:
         files = self.table("files")
         return None if files is None else files.select("path", "checksum").dropDuplicates(["path"])

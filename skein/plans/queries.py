@@ -5,6 +5,8 @@ with the same number."""
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from skein.functions.embed import HashingEmbedder, embed_column, wordpiece
 from skein.functions.snippet import CLOSE, MIN_LENGTH, OPEN, REACH, WIDTH, snippet
 from skein.operators import bm25, snapshot, vector
 from skein.plans import search as plans
-from skein.session import table
+from skein.session import shared_root, table
 from skein.sources import files as sources
 from skein.sources import globs
 from skein.streaming import maintain
@@ -239,7 +241,7 @@ def hybrid_text_only_degraded(spark, sf_dir):
 # --- snippets
 
 
-@query("snippet_eligibility", f"WITH {D} SELECT doc_id, length(text) > {MIN_LENGTH} AND {has('tt', 'clown')} AS truncated FROM d WHERE {has('tt', 'clown')}")
+@query("snippet_eligibility", f"WITH {D} SELECT doc_id, length(text) > {MIN_LENGTH} AND regexp_matches(text[1:{REACH}], '(?i)\\bclown\\b') AS truncated FROM d WHERE {has('tt', 'clown')}")
 def snippet_eligibility(spark, sf_dir):
     c = chunks(spark, sf_dir).where(F.array_contains(bm25.TEXT, "clown"))
     return c.select("doc_id", snippet(F.col("text"), ["clown"], F.array_contains(bm25.TEXT, "clown"))[1].alias("truncated"))
@@ -252,7 +254,7 @@ _mark = rf"regexp_replace(p, '\b(clown)\b', '{OPEN}\1{CLOSE}', 'gi')"
   SELECT doc_id, text, list_transform(string_split(regexp_replace(text[1:{REACH}], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {_mark}) AS ps FROM d WHERE {has('tt', 'clown')}),
 b AS (SELECT doc_id, text, list_filter(ps, lambda p: len(string_split(p, '{OPEN}')) = list_max(list_transform(ps, lambda z: len(string_split(z, '{OPEN}')))))[1] AS p FROM x),
 w AS (SELECT *, greatest(0, greatest(instr(p, '{OPEN}'), 1) - 1 - {WIDTH // 2}) AS a, least(length(p), greatest(0, greatest(instr(p, '{OPEN}'), 1) - 1 - {WIDTH // 2}) + {WIDTH}) AS z FROM b)
-SELECT doc_id, CASE WHEN length(text) <= {MIN_LENGTH} THEN text ELSE replace(replace(CASE WHEN length(p) <= {WIDTH} THEN p ELSE
+SELECT doc_id, CASE WHEN length(text) <= {MIN_LENGTH} OR instr(p, '{OPEN}') = 0 THEN text ELSE replace(replace(CASE WHEN length(p) <= {WIDTH} THEN p ELSE
   (CASE WHEN a > 0 THEN '... ' ELSE '' END) || p[a + 1:z] || (CASE WHEN z < length(p) THEN ' ...' ELSE '' END) END, '{OPEN}', '**'), '{CLOSE}', '**') END AS shown FROM w""")
 def snippet_window(spark, sf_dir):
     c = chunks(spark, sf_dir).where(F.array_contains(bm25.TEXT, "clown"))
@@ -306,10 +308,11 @@ def upsert_snapshot(spark, sf_dir):
     return snapshot.upserted(old, states.where("state in ('added', 'changed')").select("path", "checksum"), states.where("state <> 'same'"))
 
 
-@query("delete_propagation", f"WITH {OLD}, {NEW} SELECT path FROM old WHERE path NOT IN (SELECT path FROM new)")
+@query("delete_propagation", f"WITH {OLD}, {NEW} SELECT path FROM old WHERE path IN (SELECT path FROM new)")
 def delete_propagation(spark, sf_dir):
     old, new = snapshots(spark, sf_dir)
-    return old.join(new, "path", "left_anti").select("path")
+    gone = snapshot.delta(old, new).where("state = 'removed'")
+    return snapshot.upserted(old, old.where("false"), gone).select("path")
 
 
 @query("duplicate_content", "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
@@ -317,20 +320,39 @@ def duplicate_content(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("index_counts", "SELECT source AS index_name, count(*) AS docs, source || ': ' || count(*) || ' docs' AS line FROM documents GROUP BY source")
+def stored_index(spark, sf_dir) -> snapshot.SnapshotStore:
+    """The documents as a stored index, written once a table directory and session."""
+    root = f"{shared_root(spark)}/skein-catalogue/{spark.sparkContext.applicationId}/{sha256(sf_dir.encode()).hexdigest()}"
+    store = snapshot.SnapshotStore(spark, root)
+    if store.manifest() is None:
+        c = chunks(spark, sf_dir)
+        store.write(c.drop("doc_id", "source", "lang"), c.select("path", "checksum"), None, None, 1)
+    return store
+
+
+@query("index_counts", "SELECT 'documents: ' || count(*) || ' docs' AS line FROM documents")
 def index_counts(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("index_name")).agg(F.count("*").alias("docs"))
-    return n.select("index_name", "docs", F.format_string("%s: %d docs", "index_name", "docs").alias("line"))
+    return render.index_lines(spark.createDataFrame([("documents", stored_index(spark, sf_dir).count())], "index_name string, docs long"))
+
+
+@query("text_postings_topk", bm25_sql(["clown", "de", "src3"]))
+def text_postings_topk(spark, sf_dir):
+    return scored(stored_index(spark, sf_dir).ranked(["clown", "de", "src3"], TOP))
+
+
+@query("text_postings_prefix", bm25_sql(["idiot", "the"], "path = 'src1' OR starts_with(path, 'src1/')"))
+def text_postings_prefix(spark, sf_dir):
+    return scored(stored_index(spark, sf_dir).ranked(["idiot", "the"], TOP, "src1"))
 
 
 @query("list_paths", f"WITH {D} SELECT DISTINCT path FROM d")
 def list_paths(spark, sf_dir):
-    return chunks(spark, sf_dir).select("path").distinct()
+    return stored_index(spark, sf_dir).list_paths()
 
 
-@query("known_checksums", f"WITH {D} SELECT source || '/' || lang AS path, min(checksum) AS checksum FROM d GROUP BY 1")
+@query("known_checksums", f"WITH {D} SELECT path, checksum FROM d")
 def known_checksums(spark, sf_dir):
-    return chunks(spark, sf_dir).groupBy(F.concat("source", F.lit("/"), "lang").alias("path")).agg(F.min("checksum").alias("checksum"))
+    return stored_index(spark, sf_dir).known_checksums()
 
 
 @query("hit_location", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || ':' || page_id % 3 END AS location FROM pages")
@@ -458,14 +480,12 @@ def drain_batches(spark, sf_dir):
 # --- rendering
 
 
-@query("render_hits", f"""WITH b AS ({bm25_sql(TERMS, heading=False)}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM b)
-SELECT CAST(rank AS INTEGER) AS rank, path || ' [' || split_part(path, '/', 1) || ' ' || split_part(path, '/', 2) || '] (' || printf('%.3f', score) || ')' AS line FROM r""")
+@query("render_hits", f"""WITH b AS ({bm25_sql(TERMS)}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM b)
+SELECT CAST(rank AS INTEGER) AS rank, r.path || CASE WHEN n_chars <= 0 THEN '' ELSE ':' || n_chars END || ' [' || source || ' ' || lang || '] (' || printf('%.5f', score) || ')' || chr(10) || text AS rendered
+FROM r JOIN documents x ON r.path = x.source || '/' || x.lang || '/' || x.doc_id || '.md'""")
 def render_hits(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = text_query(TERMS, heading=False)(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
-    head = F.concat(F.split("path", "/")[0], F.lit(" "), F.split("path", "/")[1])
-    return top.select("rank", F.concat("path", F.lit(" ["), head, F.lit("] ("), F.format_string("%.3f", "score"), F.lit(")")).alias("line"))
+    hits = plans.search(chunks(spark, sf_dir), " ".join(TERMS), TOP, "text", full_text=True)
+    return render.hit_lines(hits.withColumn("score", F.round("score", 6)))
 
 
 @query("search_hits")

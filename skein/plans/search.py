@@ -14,7 +14,7 @@ from skein.functions.analysis import SIMPLE, location, text_tokens
 from skein.functions.embed import Embedder, embed_column, embedded_text
 from skein.functions.snippet import snippet
 from skein.operators import bm25, fusion, vector
-from skein.operators.snapshot import ReindexStats, SnapshotStore, delta, delta_stats, upserted
+from skein.operators.snapshot import ReindexStats, SnapshotStore, delta, upserted
 from skein.sources import files as sources
 from skein.sources.config import Config
 
@@ -81,8 +81,13 @@ def hits(chunks: DataFrame, ranked: DataFrame, order: list, query: str, syntax:
     ).orderBy("rank")
 
 
-def search(chunks: DataFrame, query: str, top_n: int = DEFAULT_TOP, syntax: str | Syntax | None = None, path_prefix: str | None = None, full_text: bool = False, embedder: Embedder | None = None, pattern: str = SIMPLE) -> DataFrame:
-    """The hits of a query over a chunk table, best first."""
+def search(chunks: DataFrame, query: str, top_n: int = DEFAULT_TOP, syntax: str | Syntax | None = None, path_prefix: str | None = None, full_text: bool = False, embedder: Embedder | None = None, pattern: str = SIMPLE, store: SnapshotStore | None = None) -> DataFrame:
+    """The hits of a query over a chunk table, best first; with the store that the table is of, text is looked up in its postings."""
+
+    def text_ranked(n: int) -> DataFrame:
+        terms = text_tokens(query, pattern)
+        return store.ranked(terms, n, path_prefix) if store and terms else text_leg(chunks, query, n, path_prefix, pattern)
+
     mode = syntax if isinstance(syntax, Syntax) else Syntax.of(syntax)
     if top_n < 1:
         raise ValueError("top_n must be at least 1")
@@ -94,7 +99,7 @@ def search(chunks: DataFrame, query: str, top_n: int = DEFAULT_TOP, syntax: str
     elif mode is Syntax.RAW:
         ranked = raw_leg(chunks, query, top_n, path_prefix, pattern)
     elif mode is Syntax.TEXT:
-        ranked = text_leg(chunks, query, top_n, path_prefix, pattern)
+        ranked = text_ranked(top_n)
     else:
         q = None
         if embedder is not None:
@@ -103,10 +108,10 @@ def search(chunks: DataFrame, query: str, top_n: int = DEFAULT_TOP, syntax: str
             except Exception as e:  # noqa: BLE001
                 log.warning("no vector leg: %s", e)
         if q is None:
-            ranked = text_leg(chunks, query, top_n, path_prefix, pattern)
+            ranked = text_ranked(top_n)
         else:
             d = fusion.depth(top_n)
-            text = fusion.ranked(text_leg(chunks, query, d, path_prefix, pattern), "text_rank", F.desc("score"), *KEY)
+            text = fusion.ranked(text_ranked(d), "text_rank", F.desc("score"), *KEY)
             vec = fusion.ranked(vector_leg(chunks, q, d, path_prefix), "vec_rank", F.desc("score"), *KEY)
             ranked = fusion.fused(text, vec, KEY, top_n)
             order = [F.desc("score"), F.asc_nulls_last("text_rank"), F.asc_nulls_last("vec_rank")]
@@ -142,11 +147,11 @@ class SearchIndex:
         states = delta(known, found.select("path", "checksum")).cache()
         try:
             todo = F.col("state").isin("added", "changed", "same") if stale else F.col("state").isin("added", "changed")
-            counts = delta_stats(states).first()
-            total = states.where(todo).count()
+            counts = states.agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in ("added", "changed", "removed", "same"))).first()
+            total = counts["added"] + counts["changed"] + (counts["same"] if stale else 0)
             if not total and not counts["removed"] and not stale:
                 return ReindexStats(0, 0, 0, store.count())
-            changed = counts["changed"] + (states.where("state = 'same'").count() if stale else 0)
+            changed = counts["changed"] + (counts["same"] if stale else 0)
             fresh = sources.analysed(sources.chunked(found.join(states.where(todo).select("path"), "path", "left_semi")), self.pattern)
             fresh = fresh.withColumn("embedding", embed_column(self.embedder, embedded_text(F.col("heading"), F.col("text"))) if self.embedder else F.lit(None).cast("array<float>"))
             gone = states.where("state <> 'same'") if not stale else states
@@ -163,7 +168,7 @@ class SearchIndex:
         if chunks is None:
             self.reindex(name)
             chunks = self._store(name).table("chunks")
-        return search(chunks, query, top_n, syntax, path_prefix, full_text, self.embedder, self.pattern).withColumn("index_name", F.lit(name))
+        return search(chunks, query, top_n, syntax, path_prefix, full_text, self.embedder, self.pattern, self._store(name)).withColumn("index_name", F.lit(name))
 
     def list_indexes(self) -> DataFrame:
         rows = [(name, s.count()) for name, s in sorted(self.stores.items())]

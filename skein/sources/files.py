@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +34,24 @@ def parse(category: str, kind: str | None, data: bytes | str) -> list[tuple]:
     return [(i, [], body, line, None) for i, (body, line) in enumerate(comments.extract(kind or "", text))]
 
 
-@F.udf(T.ArrayType(CHUNK))
-def parse_udf(category, kind, data):
-    return None if data is None else parse(category, kind, data)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of files (.., category, kind, content) behind the columns before these; a batch a file, so that memory follows one file."""
+    types = [pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string()]
+    for batch in batches:
+        kept = batch.columns[:-2]
+        for i, (category, kind, content) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)):
+            rows = [] if content is None else parse(category, kind, content)
+            if rows:
+                same = [pa.repeat(c[i], len(rows)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*batch.schema.names[:-2], *CHUNK.names])
 
 
 def chunked(files: DataFrame) -> DataFrame:
     """Rows (path, category, kind, content) as one row per chunk; files without chunks have none."""
-    parsed = files.withColumn("c", F.explode(parse_udf("category", "kind", "content")))
-    return parsed.select("path", "category", "checksum", "c.*") if "checksum" in files.columns else parsed.select("path", "category", "c.*")
+    keep = ["path", "checksum", "category"] if "checksum" in files.columns else ["path", "category"]
+    rows = files.select(*keep, F.col("kind").cast("string"), F.col("content").cast("binary"))
+    out = rows.mapInArrow(_chunks, T.StructType([*rows.schema.fields[:-2], *CHUNK.fields]))
+    return out.select("path", "category", *keep[1:-1], *CHUNK.names)
 
 
 def analysed(chunks: DataFrame, pattern: str = SIMPLE) -> DataFrame:
@@ -69,7 +82,8 @@ def categorised(files: DataFrame, config: IndexConfig) -> DataFrame:
 def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
     """path, content, checksum, category, kind of a configuration's files under base_dir (a local path or a URL that Spark reads).
 
-    Only the patterns' static prefixes are listed; content is read by executors. Spark doesn't read files of no bytes: they have no
+    Only the patterns' static prefixes are listed, first by name alone; then the files that match are read, so what lies in pruned directories
+    or is of another kind is never opened. The driver holds the matching names, as Spark's file index does; content is read by executors. Spark doesn't read files of no bytes: they have no
     chunks, and a file that becomes empty counts as removed."""
     base = base_dir.rstrip("/")
     patterns = [*config.markdown, *config.yaml, *config.source.include]
@@ -82,10 +96,17 @@ def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
             roots.append(where.toString())
     if not roots:
         return categorised(spark.createDataFrame([], "path string, content binary, checksum string"), config)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    full = F.regexp_replace(F.col("path"), "^[a-z][a-z0-9+.-]*:/*", "/")
     plain = "/" + base.split(":", 1)[-1].lstrip("/")
-    rel = F.expr(f"substring(p, {len(plain) + 2})")
-    named = read.withColumn("p", full).withColumn("path", rel)
-    kept = categorised(named.select("path", "content"), config)
+
+    def named(read: DataFrame, *keep: str) -> DataFrame:
+        full = F.regexp_replace(F.col("path"), "^[a-z][a-z0-9+.-]*:/*", "/")
+        return read.withColumn("at", F.col("path")).withColumn("p", full).withColumn("path", F.expr(f"substring(p, {len(plain) + 2})")).select("path", *keep)
+
+    names = "{" + ",".join(sorted({"*" if "**" in (last := p.rsplit("/", 1)[-1]) or "{" in last or "[" in last else last for p in patterns})) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names)
+    listed = categorised(named(files.option("recursiveFileLookup", "true").load(roots), "at"), config)
+    found = [re.sub(r"([{}\[\]*?\\])", r"\\\1", r["at"]) for r in listed.select("at").collect()]
+    if not found:
+        return categorised(spark.createDataFrame([], "path string, content binary, checksum string"), config)
+    kept = categorised(named(spark.read.format("binaryFile").load(found), "content"), config)
     return kept.withColumn("checksum", checksum(F.col("content")))

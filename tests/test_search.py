@@ -1,10 +1,14 @@
+import random
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import pathprefix, rawquery, render
 from skein.functions.embed import HashingEmbedder, basic_tokens, embed_column, wordpiece
 from skein.operators.snapshot import EmbeddingDrift, SnapshotStore
-from skein.plans.search import SearchIndex, Syntax, search
+from skein.functions.analysis import text_tokens
+from skein.plans.search import SearchIndex, Syntax, search, text_leg
 from skein.sources.config import parse
 from skein.sources.files import analysed
 
@@ -158,3 +162,51 @@ def test_embedding_batches_and_pieces(spark):
     vocab = {w: i for i, w in enumerate(["[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "."])}
     assert wordpiece("Unaffable. xyz", vocab) == [1, 3, 4, 5, 6, 0, 2] and wordpiece("un " * 600, vocab)[-1] == 2 and len(wordpiece("un " * 600, vocab)) == 512
     assert basic_tokens("A-b c.") == ["a", "-", "b", "c", "."]
+
+
+def test_postings_score_as_the_chunk_table(spark, tmp_path):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(30)]
+    c = corpus(spark, [(f"{'ab'[i % 2]}/{i:03}", [rng.choice(vocab)] if i % 3 else [], " ".join(rng.choices(vocab, k=rng.randint(0, 25))), None) for i in range(200)])
+    store = SnapshotStore(spark, f"{tmp_path}/idx")
+    store.write(c, c.select("path", F.lit("x").alias("checksum")), None, None, 1)
+    chunks = store.table("chunks")
+    for query, prefix in (("w1", None), ("w2 w7 w29 nowhere", None), ("w3 w4", "a"), ("nowhere", None)):
+        want = [(r["path"], round(r["score"], 9)) for r in text_leg(chunks, query, 20, prefix).collect()]
+        assert [(r["path"], round(r["score"], 9)) for r in store.ranked(text_tokens(query), 20, prefix).collect()] == want
+    plan = store.ranked(["w1"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_readers_always_see_a_whole_index(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/idx")
+    c = corpus(spark, [("a", [], "one", None)])
+    files = c.select("path", F.lit("x").alias("checksum"))
+    store.write(c, files, None, None, 1)
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            m = SnapshotStore(spark, f"{tmp_path}/idx").manifest()
+            seen.append(m.version if m else None)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    held = store.table("chunks")
+    for _ in range(2):
+        store.write(c, files, None, None, 1)
+    stop.set()
+    reader.join()
+    assert None not in seen and seen == sorted(seen) and held.count() == 1
+    with pytest.raises(OSError):
+        store.commit(store.manifest())
+
+
+def test_a_term_beyond_the_reach_of_passages_leaves_the_text_whole(spark):
+    c = corpus(spark, [("a", [], "filler. " * 1500 + "needle", None), ("b", [], "needle. " + "filler. " * 1500, None)])
+    got = {r["path"]: (r["truncated"], len(r["text"])) for r in search(c, "needle", syntax="text").collect()}
+    assert got["a"] == (False, 12006) and got["b"][0] and got["b"][1] < 350
+
+
+def test_symbols_are_tokens_of_their_own():
+    assert basic_tokens("a€b ≤c ☃d+e") == ["a", "€", "b", "≤", "c", "☃", "d", "+", "e"]

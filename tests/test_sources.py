@@ -1,8 +1,11 @@
+from hashlib import sha256
+from urllib.parse import unquote
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.sources import comments, globs, markdown
+from skein.sources import comments, files, globs, markdown
 from skein.sources.config import load, parse
 
 
@@ -88,3 +91,19 @@ def test_config(tmp_path):
             parse(bad)
     with pytest.raises(FileNotFoundError):
         load(str(tmp_path))
+
+
+def test_a_scan_opens_only_matching_files(spark, tmp_path):
+    for name in ("doc/a.md", "doc/sub/b [1].md", "node_modules/x/c.md", "doc/.git/d.md", "doc/big.bin", "e.yaml", "doc/bucket=1/f.md", "doc/other=2/g.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# T\nx\n")
+    config = parse("index: {i: {index_path: idx, markdown: ['**/*.md'], yaml: ['*.yaml']}}").index["i"]
+    got = files.scan(spark, str(tmp_path), config)
+    want = ["doc/a.md", "doc/bucket=1/f.md", "doc/other=2/g.md", "doc/sub/b [1].md", "e.yaml"]
+    assert sorted(r["path"] for r in got.collect()) == want and {r["checksum"] for r in got.collect()} == {sha256(b"# T\nx\n").hexdigest()}
+    assert sorted(unquote(f).split(f"{tmp_path}/")[1] for f in got.inputFiles()) == want
+    assert sorted((r["path"], r["category"], r["chunk_no"], r["text"]) for r in files.chunked(got).collect()) == [(p, "yaml", 0, "# T\nx") if p == "e.yaml" else (p, "markdown", 0, "x") for p in want]
+
+
+def test_comment_lines_of_three_slashes_keep_the_third():
+    assert comments.extract("rust", "/// doc\n//// more\n") == [("/ doc\n// more", 1)]
