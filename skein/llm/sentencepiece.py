@@ -17,7 +17,7 @@ itself is written in byte pieces, so decoding restores every text exactly.
 
 Defined results: null text gives null ids; empty text gives empty ids and decodes to the empty text; a row key of null is a key
 like any other; repeated rows give equal rows; lone surrogates can't occur in Spark strings; texts of any length are encoded whole (a
-worker holds one text at a time beyond CHUNK_BYTES, and the lattice of its longest unit); extra columns are kept whatever their
+worker holds one text at a time beyond CHUNK, and the lattice of its longest unit); extra columns are kept whatever their
 names, but those named as the results (piece_ids, lossless) are replaced; an empty table gives an empty result.
 """
 
@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm._common import bounded_batches, mix, text_chunks
+from skein.llm._common import bounded_batches, mix, release, text_chunks
 
 MODEL_FILE = "piece_bpe_32k.model"
 #: Distinct units whose filters a worker keeps.
-KEPT_UNITS = 50_000
+KEPT_UNITS = 25_000
 #: The table of pieces and their beginnings is addressed by the bits of a hash above these.
 TABLE_SHIFT = 44
 NONE, BEGUN = -1, -2
+#: Bytes of text that are encoded at once: some tens of bytes a character are held for them.
+CHUNK = 1 << 18
 META = "▁"
 LETTERS = re.compile(r"[^\W\d_²]+")
 #: Classes of characters; a unit is a run of spaces with the run of one other class behind it.
@@ -327,7 +329,9 @@ def _encode(model: Pieces, text_at: int, check: bool):
     """Of batches whose last column is the row key: the columns before it, the ids, and with check whether they restore the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_chunks(batches, text_at):
+        for n, (batch, _, _) in enumerate(text_chunks(batches, text_at, CHUNK)):
+            if n % 16 == 15:
+                release()
             text = batch.column(text_at)
             ids, heads, same = model.encode(text.to_pylist(), batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
             lists = pa.ListArray.from_arrays(pa.array(heads.astype(np.int32)), pa.array(ids), mask=text.is_null() if text.null_count else None)
