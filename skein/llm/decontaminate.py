@@ -6,11 +6,18 @@ those of the benchmark in one equality join; a hit names a diagonal (document po
 verified on whole token arrays: where the best window of at most WINDOW tokens has at least MATCH percent equal tokens, the document
 contains the item.
 
+The masks are complete for the promise: however 4 of a window's 16 tokens are substituted, one of the masks fits somewhere between them
+(the tests enumerate all 1,820 placements; found by a greedy search over masks). Items with fewer than SPAN tokens
+have one seed more, their whole token run. So items shorter than a window are found where they occur verbatim, and with
+substitutions where a mask fits between them. A text that holds only a part of an item contains
+it if a whole window lies in that part.
+
 Plan: documents are read once for seeds, without a shuffle: the benchmark's seeds are broadcast if their counted number is at most
 BROADCAST_ROWS, otherwise both sides are shuffled by hash. Only documents with hits are read again for verification. Hot
 items or hashes only make more hits, linear in the text.
 
-Defined results: null and empty texts have no tokens and no hits, neither have texts or items with fewer than SPAN tokens; rows that
+Defined results: null and empty texts and items have no tokens and no hits; very long texts are cut nowhere, their seeds are made and
+verified over the whole text; rows that
 share a doc_id are judged together (a hit of any of them is the id's); null ids take no part; repeated rows give one result;
 extra columns are ignored by `contamination` and kept by `decontaminated`; empty tables give no hits.
 """
@@ -22,9 +29,9 @@ from pyspark.sql import functions as F
 
 from skein.llm._common import stored
 
-#: The masks' positions that count; the second is the first mirrored.
-MASKS = ((0, 1, 3, 6, 8, 9, 10), (0, 1, 2, 4, 7, 9, 10))
-SPAN, WINDOW, MATCH = 11, 16, 75
+#: The masks' positions that count.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 2, 7, 11))
+SPAN, WINDOW, MATCH = 12, 16, 75
 #: Rows of 24 bytes that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -34,11 +41,11 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column) -> Column:
-    """The hashes under every mask, one mask after the other, size(h) - SPAN + 1 of each."""
-    at = F.sequence(F.lit(0), F.size(h) - SPAN)
+def seeds(h: Column, masks: tuple) -> Column:
+    """The hashes under every mask at every token, one mask after the other, size(h) of each; those that stick out at the end are of no use."""
+    at = F.sequence(F.lit(0), F.size(h) - 1)
     one = lambda k, mask: F.transform(at, lambda i: F.xxhash64(F.lit(k), *(F.get(h, i + j) if j else F.get(h, i) for j in mask)))
-    return F.when(F.size(h) >= SPAN, F.concat(*(one(k, m) for k, m in enumerate(MASKS))))
+    return F.when(F.size(h) > 0, F.concat(*(one(k, m) for k, m in enumerate(masks))))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -50,12 +57,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("item")).where("item_id is not null").distinct())
 
+    # At most SPAN - 1 values.
+    short = sorted(r["n"] for r in items.select(F.size("item").alias("n")).where(f"n between 1 and {SPAN - 1}").distinct().collect())
+    masks = (*MASKS, *(tuple(range(n)) for n in short))
+
     def exploded(df: DataFrame, name: str, *keep: str) -> DataFrame:
-        cut = df.select(*keep, (F.size(name) - (SPAN - 1)).alias("m"), seeds(F.col(name)).alias("s"))
+        cut = df.select(*keep, F.size(name).alias("m"), seeds(F.col(name), masks).alias("s"))
         # posexplode would add a filter on the array's size, which is pushed down and computes the tokens anew for every seed.
         return cut.select(*keep, "m", F.posexplode_outer("s").alias("p", "seed")).where("seed is not null")
 
-    keys = exploded(items, "item", "item_id").select("item_id", (F.col("p") % F.col("m")).alias("q"), "seed").distinct()
+    span = F.get(F.array(*(F.lit(max(m) + 1) for m in masks)), F.floor(F.col("p") / F.col("m")).cast("int"))
+    whole = (F.col("p") < len(MASKS) * F.col("m")) | (F.col("m") == span)
+    keys = exploded(items, "item", "item_id").where((F.col("p") % F.col("m") + span <= F.col("m")) & whole)
+    keys = keys.select("item_id", (F.col("p") % F.col("m")).alias("q"), "seed").distinct()
     hashed = docs.select("doc_id", F.xxhash64("text").alias("key"), token_hashes(F.col("text")).alias("h"))
     hits = exploded(hashed, "h", "doc_id", "key").join(_small(stored(keys)), "seed")
     hits = stored(hits.select("doc_id", "key", "item_id", (F.col("p") % F.col("m") - F.col("q")).alias("diagonal")).distinct())
@@ -86,13 +100,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     mask = lambda k, v: f"'{k} ' || " + " || ' ' || ".join(f"{v}[i + {j + 1}]" for j in MASKS[k])
     cut = lambda table, key, v: " UNION ALL ".join(
-        f"SELECT {key}, i, {mask(k, v)} AS seed FROM (SELECT {key}, {v}, unnest(range(0, len({v}) - {SPAN - 1})) AS i FROM {table})" for k in range(len(MASKS))
+        f"SELECT {key}, i, {mask(k, v)} AS seed FROM (SELECT {key}, {v}, unnest(range(0, len({v}) - {max(MASKS[k])})) AS i FROM {table})" for k in range(len(MASKS))
     )
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS h FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
 ds AS ({cut("d", "doc_id", "h")}), bs AS ({cut("b", "item_id", "w")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS g FROM ds JOIN bs USING (seed)),
+runs AS (SELECT doc_id, h, i, h[i + 1] AS head FROM (SELECT doc_id, h, unnest(range(0, len(h))) AS i FROM d) WHERE (SELECT min(len(w)) FROM b WHERE len(w) > 0) < {SPAN}),
+hits AS (
+  SELECT doc_id, item_id, ds.i - bs.i AS g FROM ds JOIN bs USING (seed)
+  UNION
+  SELECT doc_id, item_id, i FROM runs JOIN b ON head = w[1] AND len(w) < {SPAN} AND h[i + 1:i + len(w)] = w),
 e AS (
   SELECT doc_id, item_id, least({WINDOW}, len(w)) AS n,
     list_transform(range(greatest(0, -g), least(len(w), len(h) - g)), lambda p: CAST(h[p + g + 1] = w[p + 1] AS INTEGER)) AS e

@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and planted cases, with odd rows and empty tables."""
 
+import itertools
 import json
 import math
 import random
@@ -7,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,43 +32,64 @@ VOCAB = [f"{a}{b}{c}" for a in "bdfgklmn" for b in ("a", "e", "io") for c in ("r
 # --- decontamination
 
 
+def test_masks_find_every_accepted_window():
+    n = decontaminate.WINDOW
+    wrong = n - -(-n * decontaminate.MATCH // 100)
+    fits = [{s + j for j in m} for m in decontaminate.MASKS for s in range(n - max(m))]
+    assert max(map(max, decontaminate.MASKS)) + 1 == decontaminate.SPAN
+    assert all(any(f.isdisjoint(c) for f in fits) for c in itertools.combinations(range(n), wrong))
+
+
 def brute_contamination(docs, items):
+    """Every diagonal, without seeds; items shorter than a window need a mask that fits or the whole run."""
     tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
     for i, t in docs:
         d = tok(t)
         for k, s in items:
             b = tok(s)
-            seen = set()
-            for m in decontaminate.MASKS:
-                at = {}
-                for q in range(len(b) - decontaminate.SPAN + 1):
-                    at.setdefault(tuple(b[q + j] for j in m), []).append(q)
-                for p in range(len(d) - decontaminate.SPAN + 1):
-                    seen |= {p - q for q in at.get(tuple(d[p + j] for j in m), ())}
-            for g in seen:
+            w = min(decontaminate.WINDOW, len(b))
+            for g in range(-len(b), len(d)):
                 e = [int(d[p + g] == b[p]) for p in range(max(0, -g), min(len(b), len(d) - g))]
-                w = min(decontaminate.WINDOW, len(b))
-                if len(e) >= w and (best := max(sum(e[j : j + w]) for j in range(len(e) - w + 1))) * 100 >= w * decontaminate.MATCH:
+                if not w or len(e) < w or (best := max(sum(e[j : j + w]) for j in range(len(e) - w + 1))) * 100 < w * decontaminate.MATCH:
+                    continue
+                found = len(b) >= decontaminate.WINDOW or all(e)
+                found = found or any(all(e[q + j] for j in m) for m in decontaminate.MASKS for q in range(len(e) - max(m)))
+                if found:
                     out[i, k] = max(out.get((i, k), (0,)), (sum(e), len(e), best))
     return out
 
 
-def test_decontamination_matches_brute_force(spark):
-    rng = random.Random(1)
-    items = [(k, " ".join(words(rng, n, VOCAB))) for k, n in enumerate((11, 14, 30, 60, 8))] + [(9, None)]
-    docs = [(100, None, "en"), (101, "", "en"), (102, "x", "en")]
-    for i in range(60):
+def contaminated_texts(rng):
+    items = [(k, " ".join(words(rng, n, VOCAB))) for k, n in enumerate((11, 14, 30, 60, 8, 1, 16))] + [(9, None), (10, "")]
+    docs = [(100, None, "en"), (101, "", "en"), (102, "x", "en"), (103, items[2][1] + " " + " ".join(words(rng, 4000, VOCAB)) + " " + items[4][1], "en")]
+    for i in range(120):
         body = words(rng, 80, VOCAB)
         if i % 2:
-            part = items[i % 5][1].split()
-            part = [rng.choice(VOCAB) if rng.random() < 0.15 else w for w in part[: rng.randint(9, len(part)) if len(part) > 9 else None]]
+            part = items[i % 7][1].split()
+            part = [rng.choice(VOCAB) if rng.random() < 0.2 else w for w in part[: rng.randint(9, len(part)) if len(part) > 9 else None]]
             body[20:20] = part
         docs.append((i, ", ".join(body).upper(), "en"))
-    docs += [docs[4], docs[4]]
+    return [*docs, docs[5], docs[5]], items
+
+
+def test_decontamination_matches_brute_force(spark):
+    docs, items = contaminated_texts(random.Random(1))
     got = decontaminate.contamination(table(spark, docs), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, matched int")).collect()
-    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["overlap"], r["best"]) for r in got} == brute_contamination([d[:2] for d in docs], items)
-    assert len(got) > 5
+    want = brute_contamination([d[:2] for d in docs], items)
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["overlap"], r["best"]) for r in got} == want
+    assert len(got) == len(want) > 20 and {4, 5, 6} <= {k for _, k in want}
+
+
+def test_decontamination_sql_knows_short_items_too(spark):
+    docs, items = contaminated_texts(random.Random(3))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", sorted({d[:2] for d in docs}, key=str))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = {(r[0], r[1]): r[2:] for r in con.execute(decontaminate.ORACLE_SQL["op1_decontaminate"]).fetchall()}
+    assert got == brute_contamination([d[:2] for d in docs], items)
 
 
 def test_decontamination_drops_only_hits_and_keeps_columns(spark):
