@@ -118,7 +118,8 @@ class SnapshotStore:
         """A new snapshot; KEPT of them stay for readers that have them open, older ones go."""
         was = self.manifest() or Manifest()
         now = Manifest(was.version + 1, SCHEMA_VERSION, model, dims, was.writes + writes)
-        chunks.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/chunks")
+        # By path within files, so that a path prefix skips row groups.
+        chunks.sortWithinPartitions("path", "chunk_no").write.mode("overwrite").parquet(f"{self.root}/v{now.version}/chunks")
         files.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/files")
         postings.write(self.spark.read.parquet(f"{self.root}/v{now.version}/chunks"), f"{self.root}/v{now.version}")
         self.commit(now)

@@ -1,10 +1,11 @@
 """The four tools of an index as plain functions over JSON-like arguments: search, list_indexes, reindex, health.
 
-Each gives {"content": text, "structured": value, "is_error": bool}; wrong arguments and failures are error results, not exceptions."""
+`serve` offers them as JSON-RPC messages, one a line. Each gives {"content": text, "structured": value, "is_error": bool}; wrong arguments and failures are error results, not exceptions."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import functions as F
 
@@ -58,3 +59,44 @@ def call(index: SearchIndex, tool: str, arguments: dict | None = None) -> dict:
         return TOOLS[tool](index, arguments or {})
     except Exception as e:  # noqa: BLE001
         return _error(str(e).split("\n")[0])
+
+
+_TEXT, _FLAG, _NUMBER = {"type": "string"}, {"type": "boolean"}, {"type": "integer", "minimum": 1}
+ARGUMENTS = {
+    "search": ({"index": _TEXT, "query": _TEXT, "top_n": _NUMBER, "syntax": {"type": "string", "enum": ["text", "raw", "vector", "hybrid"]}, "path_prefix": _TEXT, "full_text": _FLAG}, ["index", "query"]),
+    "list_indexes": ({}, []),
+    "reindex": ({"index": _TEXT}, []),
+    "health": ({}, []),
+}
+
+
+def _answer(index: SearchIndex, method: str, params: dict) -> dict | None:
+    if method == "initialize":
+        return {"protocolVersion": params.get("protocolVersion") or "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "skein", "version": "1"}}
+    if method == "ping":
+        return {}
+    if method == "tools/list":
+        return {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": p, "required": r}} for n, (p, r) in ARGUMENTS.items()]}
+    if method == "tools/call":
+        got = call(index, str(params.get("name")), params.get("arguments"))
+        out = {"content": [{"type": "text", "text": got["content"]}], "isError": got["is_error"]}
+        return out if got["structured"] is None else out | {"structuredContent": got["structured"]}
+    return None
+
+
+def serve(index: SearchIndex, lines: Iterable[str]) -> Iterator[str]:
+    """The answers to JSON-RPC messages, in their order; notifications have none."""
+    for line in lines:
+        if not line.strip():
+            continue
+        try:
+            message = json.loads(line)
+            method, params, key = message["method"], message.get("params") or {}, message.get("id")
+        except (ValueError, KeyError, TypeError, AttributeError):
+            yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not a request"}})
+            continue
+        if key is None:
+            continue
+        result = _answer(index, method, params)
+        body = {"result": result} if result is not None else {"error": {"code": -32601, "message": f"unknown method: {method}"}}
+        yield json.dumps({"jsonrpc": "2.0", "id": key} | body)

@@ -79,12 +79,18 @@ def categorised(files: DataFrame, config: IndexConfig) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("category") == "source", kind))
 
 
-def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
-    """path, content, checksum, category, kind of a configuration's files under base_dir (a local path or a URL that Spark reads).
+def _plain(base: str) -> str:
+    return "/" + base.split(":", 1)[-1].lstrip("/")
 
-    Only the patterns' static prefixes are listed, first by name alone; then the files that match are read, so what lies in pruned directories
-    or is of another kind is never opened. The driver holds the matching names, as Spark's file index does; content is read by executors. Spark doesn't read files of no bytes: they have no
-    chunks, and a file that becomes empty counts as removed."""
+
+def _named(read: DataFrame, base: str, *keep: str) -> DataFrame:
+    """The columns of a read of files below base, with their relative paths; `at` is the full one."""
+    full = F.regexp_replace(F.col("path"), "^[a-z][a-z0-9+.-]*:/*", "/")
+    return read.withColumn("at", F.col("path")).withColumn("p", full).withColumn("path", F.expr(f"substring(p, {len(_plain(base)) + 2})")).select("path", *keep)
+
+
+def listed(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame | None:
+    """path, at, length, modified, category, kind of a configuration's files, None where no root exists; nothing is opened."""
     base = base_dir.rstrip("/")
     patterns = [*config.markdown, *config.yaml, *config.source.include]
     globs.regexes(patterns)  # absolute patterns raise
@@ -95,18 +101,22 @@ def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
         if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             roots.append(where.toString())
     if not roots:
-        return categorised(spark.createDataFrame([], "path string, content binary, checksum string"), config)
-    plain = "/" + base.split(":", 1)[-1].lstrip("/")
+        return None
+    names = "{" + ",".join(sorted({"*" if "**" in (last := p.rsplit("/", 1)[-1]) or "{" in last or "[" in last else last for p in patterns})) + "}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(roots)
+    return categorised(_named(files.withColumn("modified", F.col("modificationTime")), base, "at", "length", "modified"), config)
 
-    def named(read: DataFrame, *keep: str) -> DataFrame:
-        full = F.regexp_replace(F.col("path"), "^[a-z][a-z0-9+.-]*:/*", "/")
-        return read.withColumn("at", F.col("path")).withColumn("p", full).withColumn("path", F.expr(f"substring(p, {len(plain) + 2})")).select("path", *keep)
 
-    names = "{" + ",".join(sorted({"*" if "**" in (last := p.rsplit("/", 1)[-1]) or "{" in last or "[" in last else last for p in patterns})) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", names)
-    listed = categorised(named(files.option("recursiveFileLookup", "true").load(roots), "at"), config)
-    found = [re.sub(r"([{}\[\]*?\\])", r"\\\1", r["at"]) for r in listed.select("at").collect()]
+def scan(spark: SparkSession, base_dir: str, config: IndexConfig) -> DataFrame:
+    """path, content, checksum, category, kind of a configuration's files under base_dir (a local path or a URL that Spark reads).
+
+    Only the patterns' static prefixes are listed, first by name alone; then the files that match are read, so what lies in pruned directories
+    or is of another kind is never opened. The driver holds the matching names, as Spark's file index does; content is read by executors. Spark doesn't read files of no bytes: they have no
+    chunks, and a file that becomes empty counts as removed."""
+    base = base_dir.rstrip("/")
+    names = listed(spark, base, config)
+    found = [] if names is None else [re.sub(r"([{}\[\]*?\\])", r"\\\1", r["at"]) for r in names.select("at").collect()]
     if not found:
         return categorised(spark.createDataFrame([], "path string, content binary, checksum string"), config)
-    kept = categorised(named(spark.read.format("binaryFile").load(found), "content"), config)
+    kept = categorised(_named(spark.read.format("binaryFile").load(found), base, "content"), config)
     return kept.withColumn("checksum", checksum(F.col("content")))
