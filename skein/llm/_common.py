@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch between Spark and Python.
 BATCH_BYTES = 4 << 20
+#: Rows of one file of a small stored table whose size is known about.
+ROWS_A_FILE = 20_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,10 +147,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: later reads neither recompute nor depend on executors."""
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read back: later reads neither recompute nor depend on executors.
+
+    rows: about how many there are at most, for light last stages; a small table then takes few files in place of one a shuffle partition.
+    There is a task for every ROWS_A_FILE rows, so large tables keep their partitions."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -197,12 +204,13 @@ def frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
     return df.where(step >= least) if least is not None else df.where("false")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node, component (the smallest node reachable) of the undirected edges a, b; alternating large and small stars.
 
     Edges are kept as (larger, smaller); each round rewrites them towards the smallest known neighbour and is stored, and the
-    rounds end when none changes. A round shuffles the edges by node twice and brings nothing but two sums to the driver."""
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rounds end when none changes. A round shuffles the edges by node twice and brings nothing but two sums to the driver.
+    rows: a bound on the edges, if known."""
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
 
     def mark(df: DataFrame):
         r = df.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
@@ -216,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         large = both.join(least(both), "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct())
+        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), 2 * was[0])
         now = mark(e)
         if now == was:
             break

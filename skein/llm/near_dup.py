@@ -136,10 +136,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (both, either, size)), pa.array(delta, schema.types[5])], schema=schema)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, n: int, most: int | None = None) -> DataFrame:
     """The pairs (a, b) with the sizes of their full shingle sets' intersection and union, b's size, and up to distance CLOSE the sets'
-    symmetric difference; a row for each version of an id."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    symmetric difference; a row for each version of an id. most: a bound on the ids, if known."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), most)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items binary")
@@ -220,36 +220,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketch = stored(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, hi long, lo long, bands array<long>, bits array<long>"))
     some = sketch.where("n_shingles > 0 and doc_id is not null")
     nodes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    most = nodes.count()
 
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
-    stars = compared(buckets.join(centres, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), docs, shingle)
+    stars = compared(buckets.join(centres, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), docs, shingle, most)
     links = F.expr(f"100 * both >= {percent} * either")
     edges = stars.where(links).select("a", "b")
-    found = components(edges)
+    met = stars.count()
+    found = components(edges, met)
 
     # What the stars left apart: stars whose centres are in one component are joined to one star around that component's least node,
     # where its members are in several components; members come with their exact distance d to that centre.
     def label_of(found: DataFrame) -> DataFrame:
-        return stored(nodes.join(found, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("component")))
+        return stored(nodes.join(found, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("component")), most)
 
     def mixed_of(members: DataFrame, label: DataFrame) -> DataFrame:
         """The stars (a, node) with members in several components, with the largest."""
         sizes = members.join(label.select("node", "component"), "node").groupBy("a", "component").agg(F.count("*").alias("size"))
         mixed = sizes.groupBy("a").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        return stored(mixed.select("a", F.col("top.component").alias("largest")))
+        return stored(mixed.select("a", F.col("top.component").alias("largest")), most)
 
     label = label_of(found)
     joined = stars.select("a", "b").join(label.select(F.col("node").alias("a"), F.col("component").alias("g")), "a")
-    joined = stored(joined.select("g", F.explode(F.array("a", "b")).alias("node")).union(joined.select("g", "g")).distinct().withColumnRenamed("g", "a"))
+    joined = stored(joined.select("g", F.explode(F.array("a", "b")).alias("node")).union(joined.select("g", "g")).distinct().withColumnRenamed("g", "a"), 2 * met + most)
     mixed = mixed_of(joined, label)
-    stars = compared(joined.join(mixed, "a").where("node <> a").select("a", F.col("node").alias("b")), docs, shingle)
+    stars = compared(joined.join(mixed, "a").where("node <> a").select("a", F.col("node").alias("b")), docs, shingle, most)
     centre = stars.select(F.col("a").alias("node")).distinct().withColumn("a", F.col("node")).select("a", "node", F.lit(0.0).alias("d"))
-    members = stored(centre.union(stars.groupBy("a", F.col("b").alias("node")).agg(F.min(1 - F.col("both") / F.col("either")).alias("d"))))
+    reached = stars.count()
+    members = stored(centre.union(stars.groupBy("a", F.col("b").alias("node")).agg(F.min(1 - F.col("both") / F.col("either")).alias("d"))), 2 * reached)
+    met += 2 * reached
     near = _recentred(stars)
     second = near.where((F.col("node") != F.col("c2")) & _linked(percent)).select(F.col("c2").alias("a"), F.col("node").alias("b"))
-    edges = stored(edges.union(stars.where(links).select("a", "b")).union(second).distinct())
-    found = components(edges)
+    edges = stored(edges.union(stars.where(links).select("a", "b")).union(second).distinct(), met)
+    found = components(edges, met)
     label = label_of(found)
     mixed = mixed_of(members.select("a", "node"), label)
     reach = 1 - percent / 100 + 1e-9
@@ -263,9 +267,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     far = p.join(q, (p.a == q.a) & (p.cell == q.cell) & once & _possible(percent)).select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b"))
     rest = stored(rest.union(far).distinct())
     if not rest.isEmpty():
-        more = compared(rest, docs, shingle).where(links).select("a", "b")
+        more = compared(rest, docs, shingle, most).where(links).select("a", "b")
         if not more.isEmpty():
-            found = components(edges.union(more))
+            found = components(edges.union(more), met + rest.count())
 
     same = some.select("doc_id", "hi", "lo").join(nodes.select("hi", "lo", "node"), ["hi", "lo"])
     groups = same.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
