@@ -169,16 +169,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, salt: Column, small: bool) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, salt: Column, small: bool, like: DataFrame | None = None) -> DataFrame:
     """left joined to right, which has few rows a key: by broadcast where right is known to be small, otherwise by a shuffle in which no
     key of left gathers in one task.
 
     There a key with more than `hot` rows of left is split into parts of about that size, by `salt`, and right's rows go to each part. `hot`
-    is a ten-thousandth of left's rows, 500 at least, so the table of hot keys has at most 10,000 rows and is broadcast."""
+    is a ten-thousandth of left's rows, 500 at least, so the table of hot keys has at most 10,000 rows and is broadcast. like: a stored table
+    with about as many rows a key as left; they are counted there, so that left, where it isn't stored, is computed once and not three times."""
     if small:
         return left.join(F.broadcast(right), on, how)
-    count = left.groupBy(*on).agg(F.count("*").alias("rows of the key"))
-    n = left.count()
+    counted = left if like is None else like
+    count = counted.groupBy(*on).agg(F.count("*").alias("rows of the key"))
+    n = counted.count()
     hot = max(500, n // 10_000)
     many = stored(count.where(F.col("rows of the key") > hot)) if n > hot else None
     if many is None or many.isEmpty():

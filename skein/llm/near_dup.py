@@ -139,13 +139,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(pairs: DataFrame, docs: DataFrame, n: int, most: int | None = None) -> DataFrame:
     """The pairs (a, b) with the sizes of their full shingle sets' intersection and union, b's size, and up to distance CLOSE the sets'
     symmetric difference; a row for each version of an id. most: a bound on the ids, if known."""
+    pairs = stored(pairs)
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), most)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items binary")
     sets = stored(sets.where(F.length("items") > 0))
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = joined(first, sets.select(F.col("id").alias("a"), F.col("items").alias("x")), ["a"], "inner", F.col("b"), False).select("a", "b", "x", "y")
+    both = joined(first, sets.select(F.col("id").alias("a"), F.col("items").alias("x")), ["a"], "inner", F.col("b"), False, like=pairs).select("a", "b", "x", "y")
     return stored(both.mapInArrow(_compare, "a long, b long, both long, either long, size long, delta array<long>"))
 
 
@@ -175,24 +176,36 @@ def _by_difference(near: DataFrame, label: DataFrame, percent: int) -> DataFrame
     With D(x) the difference of x and c, |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x, y link if |x - y| <= r (|x| + |y|). As x doesn't
     link to c, |D(x)| > r (|x| + |c|), so D(x) and D(y) must share at least (|D(y)| + r (|c| - |y|)) / 2 elements, which bounds y's
     prefix, and at least |D(x)| - r |x| (1 + 1/t), which bounds that of x. Two sets that share o elements share one among their
-    |D| - o + 1 rarest (prefix filter): exact, and copies that differ from the centre each in their own way meet nowhere."""
+    |D| - o + 1 rarest (prefix filter): exact, and copies that differ from the centre each in their own way meet nowhere.
+
+    A pair itself must share at least (|D(x)| + |D(y)| - r (|x| + |y|)) / 2. It meets at its first shared element in the common order, and shares
+    no more than this one and what comes after it in either difference (position filter, as exact). What is left is decided on the
+    differences themselves, so no sets are read for pairs that don't link."""
     t = percent / 100
     r = (1 - t) / (1 + t)
     out_need = F.greatest(F.lit(1), F.ceil(F.col("d") - r * F.col("n") * (1 + 1 / t) - 1e-6))
     in_need = F.greatest(F.lit(1), F.ceil((F.col("d") + r * (F.col("c") - F.col("n"))) / 2 - 1e-6))
     near = near.where("d > 0").join(label.select("node", "component", "bits"), "node").withColumn("outside", ~_linked(percent))
-    near = stored(near.withColumn("need", F.when(F.col("outside"), out_need).otherwise(in_need)))
-    each = near.select("a", "node", "d", "need", F.explode("delta").alias("e"))
+    # Versions of an id are apart by v.
+    near = stored(near.withColumn("need", F.when(F.col("outside"), out_need).otherwise(in_need)).withColumn("v", F.xxhash64("delta")))
+    each = near.select("a", "node", "v", "d", "need", F.explode("delta").alias("e"))
     shared = each.groupBy("a", "e").agg(F.count("*").alias("df")).where("df > 1")
-    listed = each.join(shared, ["a", "e"]).groupBy("a", "node", "d", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))
+    listed = each.join(shared, ["a", "e"]).groupBy("a", "node", "v", "d", "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("l"))
     # Elements that no other member has come first in the order; they use up the prefix without meeting anything.
     length = F.col("d") - F.col("need") + 1 - (F.col("d") - F.size("l"))
-    prefix = listed.where(length > 0).select("a", "node", F.explode(F.slice("l", F.lit(1), length.cast("int"))).alias("x")).select("a", "node", F.col("x.e").alias("e"))
-    rows = prefix.join(near.withColumn("d", 2 * F.col("d") / (F.col("n") + F.col("c") + F.col("d"))).select("a", "node", "component", "n", "d", "bits", "outside"), ["a", "node"])
-    p = rows.where("outside").select("a", "e", *(F.col(c).alias(f"p_{c}") for c in ("node", "component", "n", "d", "bits")))
-    q = rows.select("a", "e", *(F.col(c).alias(f"q_{c}") for c in ("node", "component", "n", "d", "bits")))
-    met = p.join(q, (p.a == q.a) & (p.e == q.e) & _possible(percent))
-    return met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+    prefix = listed.where(length > 0).select("a", "node", "v", F.size("l").alias("all"), F.posexplode(F.slice("l", F.lit(1), length.cast("int"))).alias("at", "x"))
+    prefix = prefix.select("a", "node", "v", (F.col("all") - F.col("at")).alias("onwards"), F.col("x.e").alias("e"))
+    rows = prefix.join(near.select("a", "node", "v", "component", "n", F.col("d").alias("size"), (2 * F.col("d") / (F.col("n") + F.col("c") + F.col("d"))).alias("d"), "bits", "outside"), ["a", "node", "v"])
+    kept = ("node", "v", "component", "n", "d", "bits", "size", "onwards")
+    p = rows.where("outside").select("a", "e", *(F.col(c).alias(f"p_{c}") for c in kept))
+    q = rows.select("a", "e", *(F.col(c).alias(f"q_{c}") for c in kept))
+    must = (F.col("p_size") + F.col("q_size") - r * (F.col("p_n") + F.col("q_n"))) / 2 - 1e-6
+    met = p.join(q, (p.a == q.a) & (p.e == q.e) & _possible(percent) & (F.least("p_onwards", "q_onwards") >= must))
+    pairs = stored(met.select(p.a.alias("a"), "p_node", "p_v", "q_node", "q_v", must.alias("must")).distinct())
+    for side in ("p", "q"):
+        pairs = pairs.join(near.select("a", F.col("node").alias(f"{side}_node"), F.col("v").alias(f"{side}_v"), F.col("delta").alias(f"{side}_delta")), ["a", f"{side}_node", f"{side}_v"])
+    pairs = pairs.where(F.size(F.array_intersect("p_delta", "q_delta")) >= F.col("must"))
+    return pairs.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
 
 
 def _possible(percent: int) -> F.Column:

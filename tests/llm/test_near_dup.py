@@ -3,6 +3,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from skein.llm import near_dup
+from skein.llm._common import joined, stored
 from skein.llm.near_dup import near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -61,3 +65,30 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_only_pairs_that_can_link_are_compared(spark):
+    """Members of one star that differ from its centre in 26 of 200 elements each and share about 8 of these; two links are planted."""
+    rng = random.Random(5)
+    differ = {i: set(rng.sample(range(80), 26)) for i in range(1, 41)}
+    for x, y in ((1, 2), (3, 4)):
+        differ[y] = set(rng.sample(sorted(differ[x]), 20)) | set(range(100 + 10 * y, 106 + 10 * y))
+    near = spark.createDataFrame([(0, i, 100, 100, 26, sorted(d)) for i, d in differ.items()], "a long, node long, n long, c long, d long, delta array<long>")
+    label = spark.createDataFrame([(i, i, [0] * 8) for i in differ], "node long, component long, bits array<long>")
+    got = {(r["a"], r["b"]) for r in near_dup._by_difference(near, label, 80).collect()}
+    want = {(x, y) for x in differ for y in differ if x < y and 100 * (200 - len(differ[x] ^ differ[y])) >= 80 * (200 + len(differ[x] ^ differ[y]))}
+    assert {(1, 2), (3, 4)} <= want <= got and len(got) < 30, len(got)
+
+
+def test_the_left_side_of_a_join_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    base = stored(spark.range(2000).select(F.lit(1).cast("long").alias("k"), "id"))
+    right = stored(spark.range(3).withColumnRenamed("id", "k"))
+    assert joined(base.mapInArrow(look, "k long, id long"), right, ["k"], "inner", F.col("id"), False, like=base).count() == 2000
+    assert seen.value == 2000
