@@ -678,3 +678,28 @@ def test_hot_keys_are_dealt_without_changing_links(spark):
     got = {(r["doc_id"], r["other_id"]) for r in substring_dup.repeated_passages(table(spark, rows)).collect()}
     # A few more share the word before the passage and so a key of their own.
     assert {(i, 0) for i in range(1, 1200)} <= got and len(got) < 2500 and all(i < 1200 for p in got for i in p)
+
+
+def test_members_linked_to_a_centre_are_linked_to_others_too(spark):
+    """Chains a, b, c: b's passage is near that of a and near that of c, and a's isn't near that of c. Nearly all keys of b and c are a's as well."""
+    rng = random.Random(24)
+    wide = [f"w{i}" for i in range(30_000)]
+    rows, want = [], set()
+
+    def sets(x):
+        return {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+
+    def near(x, y):
+        return len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y))
+
+    for k in range(100):
+        a = words(rng, 60, wide)
+        b, c = list(a), list(a)
+        b[22] = c[22] = f"edited{k}"
+        c[42] = f"again{k}"
+        assert near(a, b) and near(b, c) and not near(a, c)
+        for i, x in enumerate((a, b, c)):
+            rows.append((3 * k + i, " ".join([*words(rng, 20, wide), *x, *words(rng, 20, wide)]), "en"))
+        want |= {frozenset((3 * k, 3 * k + 1)), frozenset((3 * k + 1, 3 * k + 2))}
+    got = {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
