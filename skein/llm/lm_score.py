@@ -10,8 +10,9 @@ Classes are the most frequent words (at most TOP), one each, and SUFFIXES bucket
 within a bucket P(w | class) = (count(w) + 1) / (count of the bucket + distinct words of the bucket + 1), which leaves one
 share for an unseen word. States and transitions come from Baum-Welch: each pass runs scaled forward-backward over all training
 text in windows, expected counts are summed within a partition and aggregated across partitions, and the re-estimated model (at most
-classes x STATES numbers) goes back to the driver. Passes start from a model that the driver fits on SAMPLE_DOCS documents of at
-most SAMPLE_CHARS characters, which only sets the start; all statistics of the model are those of all documents.
+classes x STATES numbers) goes back to the driver. Passes start from the counts of all pairs of neighbouring tokens of all training
+text, in 2 * COARSE groups of classes: the driver fits states, transitions and the groups' emissions to that table of fixed size by expectation
+maximisation, and classes share their group's emissions in proportion to their own counts. No text is left out and none is sampled.
 
 The scaled forward recursion gives a text's exact likelihood; texts over LONG tokens are cut into windows whose scaled transfer
 matrices are multiplied, which is the same sum. Counts of words outside the TOP reach their documents by a shuffled join on the
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from skein.llm._common import bounded_batches, frequent, mix, stored, text_chunks, word_hashes
 
 TOP, SUFFIXES, STATES, WINDOW, LONG = 32768, 4096, 8, 128, 512
-PASSES, SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PASSES = 2, 1000, 20_000, 15
+#: Full passes; the most frequent words, and groups of all others, whose pairs are counted for the start; its steps at most.
+PASSES, COARSE, START_STEPS = 2, 256, 300
 #: Words that one map task sums before it passes them on.
 FLUSH_WORDS = 3_000_000
 END = int(mix(np.array([0x454E44], np.uint64)).view(np.int64)[0])
@@ -77,6 +79,13 @@ class Classes:
         mass = np.concatenate([top_counts, bucket_count, [ends]]) + 1.0
         self.prior = mass / mass.sum()
 
+    def groups(self) -> np.ndarray:
+        """The group of each class: the most frequent words one each, words in COARSE - 1 groups by class and, for the last, end tokens."""
+        group = COARSE + np.arange(self.size) % (COARSE - 1)
+        group[np.argsort(-self.top_counts, kind="stable")[:COARSE]] = np.arange(min(COARSE, len(self.top)))
+        group[self.end_class] = 2 * COARSE - 1
+        return group
+
     def of(self, h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes, and which tokens have one of their own."""
         if not len(self.top):
@@ -110,6 +119,47 @@ def fresh(classes: Classes, states: int = STATES) -> Model:
     return Model(even, even, move, emit / emit.sum(axis=0))
 
 
+def _pair_map(classes: Classes):
+    """Counts of the groups of neighbouring tokens, as first * 2 * COARSE + second."""
+    schema = pa.schema([("g", pa.int32()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sums = classes.groups(), np.zeros(4 * COARSE * COARSE, np.int64)
+        for _, data, off in text_chunks(batches):
+            seq, heads, *_ = classes.sequences(data, off)
+            within = np.ones(len(seq), bool)
+            within[heads[1:] - 1] = False  # a row's last token has no next one
+            first = np.flatnonzero(within)
+            sums += np.bincount(group[seq[first]] * 2 * COARSE + group[seq[first + 1]], minlength=len(sums))
+        g = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(sums[g])], schema=schema)
+
+    return run
+
+
+def started(classes: Classes, pairs: np.ndarray, states: int = STATES) -> Model:
+    """The model whose neighbouring tokens have the given counts of pairs of groups, by expectation maximisation from a fixed start."""
+    model, group = fresh(classes, states), classes.groups()
+    if not pairs.any():
+        return model
+    prior = np.bincount(group, classes.prior, len(pairs))
+    emit = np.stack([np.bincount(group, model.emit[:, k], len(pairs)) for k in range(states)], axis=1)
+    both, last = model.middle[:, None] * model.move, -np.inf
+    for _ in range(START_STEPS):
+        chance = emit @ both @ emit.T
+        log = float((pairs * np.log10(np.maximum(chance, 1e-300))).sum())
+        if log - last < 1e-6 * abs(log):
+            break
+        last = log
+        share = pairs / np.maximum(chance, 1e-300)
+        seen = emit * (share @ emit @ both.T + share.T @ emit @ both) + 100.0 * prior[:, None]
+        both = both * (emit.T @ share @ emit) + 0.1
+        both, emit = both / both.sum(), seen / seen.sum(axis=0)
+    each = classes.prior[:, None] * (emit / np.maximum(prior, 1e-300)[:, None])[group]
+    at = both.sum(axis=1)
+    return Model(at, at, both / at[:, None], each / each.sum(axis=0))
+
+
 def _windows(heads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begin, length, row and 'first of its row' of the windows, longest first."""
     lens = np.diff(heads)
@@ -284,14 +334,11 @@ def train(docs: DataFrame) -> tuple[Classes, Model, DataFrame]:
     np.subtract.at(bv, s, 1)
     classes = Classes(h.view(np.uint64)[order], c[order], bc, bv, total["e"], total["n"], total["v"])
 
-    model = fresh(classes)
-    pick = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).toArrow()
-    for _ in range(SAMPLE_PASSES if pick.num_rows else 0):
-        sums = nothing(model)
-        for _, data, off in text_chunks(iter(pick.to_batches())):
-            seq, heads, *_ = classes.sequences(data, off)
-            expect(model, seq, heads, sums)
-        model = estimated(sums, classes)
+    pairs = np.zeros(4 * COARSE * COARSE)
+    if total["n"]:
+        got = text.mapInArrow(_pair_map(classes), "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toArrow()
+        pairs[got.column("g").to_numpy()] = got.column("c").to_numpy()
+    model = started(classes, pairs.reshape(2 * COARSE, 2 * COARSE))
     for _ in range(PASSES if total["n"] else 0):
         cols = [f"k{k}" for k in range(STATES)]
         got = text.mapInArrow(_expect_map(classes, model), "g int, " + ", ".join(f"{x} double" for x in cols)).groupBy("g").agg(*(F.sum(x).alias(x) for x in cols)).toArrow()
