@@ -7,6 +7,9 @@ tokens' values groups all subsequences of at least MIN_WORDS words by the place
 two least values, says that two subsequences agree under both functions. An exactly repeated passage has equal keys under every pair; one
 of similarity 0.8 agrees under at least one of the pairs with probability 0.95, one of 0.9 with 0.99.
 
+Of texts that are equal byte by byte only the smallest doc_id goes through all this; the others are its members, linked to it by their
+whole text. What they share with other texts is in its links.
+
 A key's documents are linked as a star to the smallest doc_id (an aggregate and a join, so hot keys neither gather in one
 task nor make pairs); each (centre, document) pair is verified on the whole token sequences: runs of shared tokens along a diagonal,
 of at least MIN_WORDS words and similarity MIN_PERCENT.
@@ -47,7 +50,7 @@ GAP = 2 * SHINGLE
 #: How far from its place the tokens are taken by which a key is split.
 REACH = MIN_WORDS - SHINGLE + GAP
 #: Members up to which all pairs of a key's groups are verified instead of splitting it.
-SMALL = 6
+SMALL = 50
 #: Places around a key that two members with a passage there share at least: somewhat under MIN_PERCENT of MIN_WORDS words' tokens.
 NEED = 32
 #: Places are kept in the low 24 bits of the values, scattered so that equal tokens are cut in random order and trees stay flat.
@@ -340,12 +343,30 @@ def _among(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs without the texts that a smaller doc_id has too, byte by byte; a, b, n: those copies b of a, with their number of words.
+
+    Texts too short for MIN_WORDS words have no passages, and stay."""
+    docs = docs.where(F.length("text") >= 2 * MIN_WORDS - 1)
+    same = docs.withColumn("same", F.sha2("text", 256))
+    texts = stored(same.select("doc_id", "same", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")).distinct())
+    heads = texts.groupBy("same").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("same", "a")
+    row = F.xxhash64("doc_id", "same").alias("row")
+    copies = stored(joined(texts, heads, ["same"], "inner", F.col("doc_id"), False).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n", row))
+    discard(texts)
+    rows = copies.select("row")
+    once = same.withColumn("row", row).join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, "row", "left_anti").select("doc_id", "text")
+    return once, copies.where(F.col("n") >= MIN_WORDS).select("a", "b", "n")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, other_id, passages: documents with passages of at least MIN_WORDS words that other_id has too.
 
-    other_id is the centre of a star: every document of a repeated passage is linked to it, copies aren't paired with each other."""
+    other_id is the centre of a star: every document of a repeated passage is linked to it. Of equal texts the smallest doc_id stands for all:
+    the others are linked to it by their whole text and to nothing else, as it has their links."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs, copies = _copies(docs)
     keys = stored(docs.mapInArrow(_keys, "key long, doc_id long, at long"))
     centres = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     centres = stored(centres)
@@ -411,10 +432,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         discard(*done)
         if rows.isEmpty():
             break
-    if not found:
-        return rows.select(F.col("b").alias("doc_id"), F.col("a").alias("other_id"), F.expr(f"cast(null as {span})").alias("passages")).where("false")
-    out = found[0]
-    for more in found[1:]:
+    whole = F.struct(F.lit(0).cast("long").alias("first_word"), F.col("n").alias("end_word"), F.lit(0).cast("long").alias("other_first"), F.col("n").alias("other_end"), F.lit(1.0).alias("similarity"))
+    out = copies.select("a", "b", F.array(whole).cast(span).alias("passages"))
+    for more in found:
         out = out.unionByName(more)
     return out.select(F.col("b").alias("doc_id"), F.col("a").alias("other_id"), "passages")
 

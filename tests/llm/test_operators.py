@@ -714,3 +714,21 @@ def test_members_linked_to_a_centre_are_linked_to_others_too(spark):
         want |= {frozenset((3 * k, 3 * k + 1)), frozenset((3 * k + 1, 3 * k + 2))}
     got = {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()}
     assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_equal_texts_are_one_document_with_members(spark):
+    """Ten copies each of two texts that share a passage: every copy is linked to the smallest doc_id of its text only, by all its words, and these two to each other."""
+    rng = random.Random(25)
+    wide = [f"w{i}" for i in range(30_000)]
+    shared, short = words(rng, 60, wide), " ".join(words(rng, 49, wide))
+    p, q = (" ".join([*words(rng, 20, wide), *shared, *words(rng, 20, wide)]) for _ in range(2))
+    rows = [(i, p if i % 2 else q, "en") for i in range(20)] + [(30, short, "en"), (31, short, "en"), (1, p, "en"), (40, p, "en"), (40, None, "en")]
+    got = sorted((r["doc_id"], r["other_id"], [tuple(x) for x in r["passages"]]) for r in substring_dup.repeated_passages(table(spark, rows)).collect())
+    assert got == [(1, 0, [(20, 80, 20, 80, 1.0)])] + [(i, i % 2, [(0, 100, 0, 100, 1.0)]) for i in range(2, 20)] + [(40, 1, [(0, 100, 0, 100, 1.0)])]
+
+
+def test_keys_are_split_without_changing_links(spark, monkeypatch):
+    monkeypatch.setattr(substring_dup, "SMALL", 6)
+    rng = random.Random(14)
+    rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 5, 30, 8)
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
