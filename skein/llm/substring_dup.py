@@ -34,6 +34,7 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -343,6 +344,18 @@ def _among(df: DataFrame, column: str, ids: DataFrame, name: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile an action's shuffle files are deleted when it ends, not whenever the driver happens to collect its garbage: what is needed later is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs without the texts that a smaller doc_id has too, byte by byte; a, b, n: those copies b of a, with their number of words.
 
@@ -364,6 +377,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     other_id is the centre of a star: every document of a repeated passage is linked to it. Of equal texts the smallest doc_id stands for all:
     the others are linked to it by their whole text and to nothing else, as it has their links."""
+    with _shuffles_deleted(docs.sparkSession):
+        return _repeated_passages(docs)
+
+
+def _repeated_passages(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     docs, copies = _copies(docs)

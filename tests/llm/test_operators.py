@@ -5,8 +5,10 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -732,3 +734,23 @@ def test_keys_are_split_without_changing_links(spark, monkeypatch):
     rng = random.Random(14)
     rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 5, 30, 8)
     assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
+
+
+def test_shuffle_files_of_repeated_passages_are_deleted_as_it_goes(spark):
+    rng = random.Random(26)
+    rows, _ = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 2, 3, 10)
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    kept = spark.range(10).repartition(3)
+    assert kept.count() == 10 and files()
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(name)
+    substring_dup.repeated_passages(table(spark, rows))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(name) == was
