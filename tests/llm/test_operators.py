@@ -736,6 +736,29 @@ def test_keys_are_split_without_changing_links(spark, monkeypatch):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("gather", [0, 20_000])
+def test_keys_are_split_alike_in_one_place_and_by_joins(spark, monkeypatch, gather):
+    monkeypatch.setattr(substring_dup, "SMALL", 6)
+    monkeypatch.setattr(substring_dup, "GATHERED", gather)
+    rng = random.Random(27)
+    rows, want = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 4, 20, 12)
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in substring_dup.repeated_passages(table(spark, rows)).collect()} == want
+
+
+def test_documents_with_passages_have_a_row_each(spark, tmp_path):
+    """b shares p with a and q with c; d and e share r in two places of d; f shares nothing, g is a copy of e."""
+    rng = random.Random(28)
+    wide = [f"w{i}" for i in range(30_000)]
+    p, q, r = (words(rng, 60, wide) for _ in range(3))
+    texts = {1: [p], 2: [p, q], 3: [q], 4: [r, r], 5: [r], 6: []}
+    rows = [(i, " ".join([w for x in parts for w in [*words(rng, 20, wide), *x]] + words(rng, 20, wide)), "en") for i, parts in texts.items()]
+    rows.append((7, rows[4][1], "en"))
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"], r["n_passages"], r["n_words"]) for r in substring_dup.op7_substring_dup(spark, str(tmp_path)).collect())
+    assert [x[:2] for x in got] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 4)]
+    assert got[:3] == [(1, 1, 1, 1, 60), (2, 1, 2, 2, 120), (3, 1, 1, 1, 60)] and got[4:] == [(5, 4, 2, 1, 100), (7, 4, 1, 1, 100)]
+
+
 def test_shuffle_files_of_repeated_passages_are_deleted_as_it_goes(spark):
     rng = random.Random(26)
     rows, _ = behind_a_line(rng, [f"w{i}" for i in range(20_000)], 0, 2, 3, 10)
