@@ -9,8 +9,9 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.plans.search import SearchIndex
@@ -23,9 +24,27 @@ IGNORED = ("target", "build", "node_modules", ".git")
 def bursts(events: DataFrame, ts: str = "ts", gap: str = DEBOUNCE, *keys: str) -> DataFrame:
     """keys, start, end, n: runs of events that stand less than a gap apart; each triggers one pass.
 
-    Batch, or a stream with a watermark; a stream needs a key, for example the index's name."""
-    w = F.session_window(ts, gap)
-    return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    Batch, or a stream with a watermark; a stream needs a key, for example the index's name, and its session windows also join events
+    that stand exactly a gap apart. A batch is cut into hours that are grouped for themselves; only the first and last run of an hour meet in one task."""
+    if events.isStreaming:
+        w = F.session_window(ts, gap)
+        return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    t, step = F.col(ts), F.lit(gap).cast("interval")
+    # By the clock of the epoch, so that hours follow each other whatever the time zone; times without a zone go by days.
+    hour = F.unix_date(F.to_date(t)) if events.schema[ts].dataType == T.TimestampNTZType() else F.floor(F.unix_seconds(t) / 3600)
+    rows = events.where(t.isNotNull()).select(*keys, t.alias("start"), t.alias("last"), F.lit(1).cast("long").alias("n"), hour.alias("hour"))
+
+    def joined(runs: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("start")
+        new = F.coalesce(F.col("start") >= F.lag("last").over(order) + step, F.lit(True)).cast("long")
+        numbered = runs.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*by, "k").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+    runs = joined(rows, *keys, "hour").withColumn("ends", F.max("k").over(Window.partitionBy(*keys, "hour")))
+    edge = (F.col("k") == 1) | (F.col("k") == F.col("ends"))
+    out = [*keys, "start", "last", "n"]
+    whole = runs.where(~edge).select(*out).unionByName(joined(runs.where(edge).select(*out), *keys).select(*out))
+    return whole.select(*keys, "start", (F.col("last") + step).alias("end"), "n")
 
 
 def scan_windows(events: DataFrame, ts: str = "ts", every: str = SCAN) -> DataFrame:

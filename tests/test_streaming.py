@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -18,6 +19,37 @@ def test_a_burst_of_changes_is_one_pass(spark):
     assert {r["path"]: r["n"] for r in maintain.drained(ev).collect()} == {"a": 2, "b": 1, "c": 1}
 
 
+def brute(times, gap):
+    runs = []
+    for t in sorted(times):
+        if runs and t < runs[-1][1] + gap:
+            runs[-1][1:] = [t, runs[-1][2] + 1]
+        else:
+            runs.append([t, t, 1])
+    return sorted((a, b + gap, n) for a, b, n in runs)
+
+
+def test_events_exactly_a_gap_apart_are_two_bursts(spark):
+    us = lambda x: T0 + dt.timedelta(microseconds=x)
+    ev = spark.createDataFrame([(us(x),) for x in (0, 999_999, 1_999_999, 1_999_999, 5_000_000)], "ts timestamp")
+    assert sorted((r["start"], r["end"], r["n"]) for r in maintain.bursts(ev).collect()) == [(us(0), us(1_999_999), 2), (us(1_999_999), us(2_999_999), 2), (us(5_000_000), us(6_000_000), 1)]
+
+
+def test_bursts_go_on_over_hours(spark):
+    rng = random.Random(5)
+    rows, at = [], 0
+    for _ in range(3000):
+        at += rng.choice([1, 300, 599, 600, 601, 7200]) if rng.random() < 0.7 else 0
+        rows.append((T0 + dt.timedelta(seconds=at), rng.choice("ab")))
+    gap = dt.timedelta(seconds=600)
+    for kind in ("timestamp", "timestamp_ntz"):
+        ev = spark.createDataFrame(rows, f"ts {kind}, path string")
+        assert sorted((r["start"], r["end"], r["n"]) for r in maintain.bursts(ev, gap=maintain.IDLE).collect()) == brute([t for t, _ in rows], gap)
+    by = maintain.bursts(ev, "ts", maintain.IDLE, "path").collect()
+    for key in "ab":
+        assert sorted((r["start"], r["end"], r["n"]) for r in by if r["path"] == key) == brute([t for t, p in rows if p == key], gap)
+
+
 def test_watched_paths(spark):
     df = spark.createDataFrame([(p,) for p in ("a.md", "x/.git/h", "build/a", ".skein/index/x", ".skein/config.yaml")], "path string")
     assert sorted(r["path"] for r in df.where(maintain.watched(F.col("path"))).collect()) == [".skein/config.yaml", "a.md"]
