@@ -15,7 +15,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import postings
+from skein.functions.analysis import SIMPLE, tokens
+from skein.operators import bm25, postings
 
 SCHEMA_VERSION = 4
 #: Snapshots that stay for readers that have them open.
@@ -114,12 +115,16 @@ class SnapshotStore:
         m = self.manifest()
         return None if m is None else self.spark.read.parquet(f"{self.root}/v{m.version}/{name}")
 
-    def write(self, chunks: DataFrame, files: DataFrame, model: str | None, dims: int | None, writes: int) -> Manifest:
-        """A new snapshot; KEPT of them stay for readers that have them open, older ones go."""
+    def write(self, chunks: DataFrame, files: DataFrame, model: str | None, dims: int | None, writes: int, pattern: str = SIMPLE) -> Manifest:
+        """A new snapshot; KEPT of them stay for readers that have them open, older ones go.
+
+        Tokens take several times the room of their text: they are made anew after the sort, which carries the text alone."""
         was = self.manifest() or Manifest()
         now = Manifest(was.version + 1, SCHEMA_VERSION, model, dims, was.writes + writes)
         # By path within files, so that a path prefix skips row groups.
-        chunks.sortWithinPartitions("path", "chunk_no").write.mode("overwrite").parquet(f"{self.root}/v{now.version}/chunks")
+        rows = chunks.drop(bm25.TEXT, bm25.HEADING).sortWithinPartitions("path", "chunk_no")
+        rows = rows.withColumn(bm25.TEXT, tokens(F.col("text"), pattern)).withColumn(bm25.HEADING, tokens(F.col("heading"), pattern))
+        rows.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/chunks")
         files.write.mode("overwrite").parquet(f"{self.root}/v{now.version}/files")
         postings.write(self.spark.read.parquet(f"{self.root}/v{now.version}/chunks"), f"{self.root}/v{now.version}")
         self.commit(now)

@@ -157,8 +157,9 @@ class SearchIndex:
             gone = states.where("state <> 'same'") if not stale else states
             old_chunks, old_files = store.table("chunks"), store.table("files")
             files = states.where("state <> 'removed'").select("path", "checksum")
+            fresh = fresh.drop(bm25.TEXT, bm25.HEADING)  # the store makes them
             chunks = fresh if stale or old_chunks is None or old_files is None else upserted(old_chunks, fresh, gone)
-            store.write(chunks, files, model, dims, total + counts["removed"])
+            store.write(chunks, files, model, dims, total + counts["removed"], self.pattern)
             return ReindexStats(counts["added"], changed, counts["removed"], store.count())
         finally:
             states.unpersist()

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import pathprefix, rawquery, render
 from skein.functions.embed import HashingEmbedder, basic_tokens, embed_column, wordpiece
+from skein.operators import postings
 from skein.operators.snapshot import EmbeddingDrift, SnapshotStore
-from skein.functions.analysis import text_tokens
+from skein.functions.analysis import WORDS, text_tokens
 from skein.plans.search import SearchIndex, Syntax, search, text_leg
 from skein.sources.config import parse
 from skein.sources.files import analysed
@@ -178,6 +179,25 @@ def test_postings_score_as_the_chunk_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_postings_count_a_chunk_in_its_row(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"p/{i}", ["h h", "x"] if i % 2 else [], " ".join(rng.choices(["a", "b", "Zz", "ü"], k=i % 40)), None) for i in range(80)]
+    c = corpus(spark, rows)
+    want = {(f, t, r["path"]): (r[f].count(t), len(r[f])) for r in c.collect() for f in postings.FIELDS for t in r[f]}
+    table = postings.postings(c)
+    assert {(r["field"], r["term"], r["path"]): (r["tf"], r["length"]) for r in table.collect()} == want and table.count() == len(want)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    postings.write(c, f"{tmp_path}/small")
+    assert len(list((tmp_path / "small/postings").glob("*/*.parquet"))) <= postings.BUCKETS
+
+
+def test_the_store_sorts_text_without_tokens(spark, tmp_path):
+    c = corpus(spark, [(f"{i:03}", [], f"word{i} It's", None) for i in range(20)])
+    store = SnapshotStore(spark, f"{tmp_path}/idx")
+    store.write(c.withColumn("text_tokens", F.raise_error(F.lit("carried through the sort")).cast("array<string>")), c.select("path", F.lit("x").alias("checksum")), None, None, 1, pattern=WORDS)
+    assert {tuple(r["text_tokens"]) for r in store.table("chunks").collect()} == {(f"word{i}", "it's") for i in range(20)}
+
+
 def test_readers_always_see_a_whole_index(spark, tmp_path):
     store = SnapshotStore(spark, f"{tmp_path}/idx")
     c = corpus(spark, [("a", [], "one", None)])
