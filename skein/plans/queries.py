@@ -401,11 +401,13 @@ LETTERS = r"trim(regexp_replace(regexp_replace(text, '[^\p{L}]+', ' ', 'g'), ' +
 
 
 def letters() -> F.Column:
-    return F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}]+", " "), " +", " "))
+    """One replacement leaves single spaces already."""
+    return F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
 
 
 def assembled(spark, sf_dir, category: str, kind: str | None, *parts) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", letters().alias("body")).where("length(body) > 0")
+    # A text with a letter is one whose body isn't empty; asked of the text, so that the body isn't made twice.
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "source", letters().alias("body"))
     f = d.select(F.col("doc_id").cast("string").alias("path"), F.lit(category).alias("category"), F.lit(kind).cast("string").alias("kind"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).cast("binary").alias("content"))
     c = sources.chunked(f)
     return c.select(F.col("path").cast("long").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk_no"), F.array_join("heading_path", " / ").alias("heading"), "text", F.col("start_line").cast("long").alias("start_line"), "frontmatter_json")

@@ -22,6 +22,8 @@ CHUNK = T.StructType([
     T.StructField("frontmatter_json", T.StringType()),
 ])
 CATEGORIES = ("markdown", "yaml", "source")
+#: Bytes of small files whose chunks go out in one Arrow batch.
+BATCH = 1 << 20
 
 
 def parse(category: str, kind: str | None, data: bytes | str) -> list[tuple]:
@@ -35,15 +37,28 @@ def parse(category: str, kind: str | None, data: bytes | str) -> list[tuple]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of files (.., category, kind, content) behind the columns before these; a batch a file, so that memory follows one file."""
+    """The chunks of files (.., category, kind, content) behind the columns before these; files go out together up to BATCH bytes, so that memory follows one file."""
     types = [pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string()]
     for batch in batches:
         kept = batch.columns[:-2]
-        for i, (category, kind, content) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)):
-            rows = [] if content is None else parse(category, kind, content)
-            if rows:
-                same = [pa.repeat(c[i], len(rows)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names=[*batch.schema.names[:-2], *CHUNK.names])
+        names = [*batch.schema.names[:-2], *CHUNK.names]
+        at, rows, size = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            same = [c.take(pa.array(at, pa.int64())) for c in kept]  # noqa: B023
+            return pa.RecordBatch.from_arrays([*same, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)  # noqa: B023
+
+        for i, (category, kind, content) in enumerate(zip(*batch.columns[-3:], strict=True)):
+            content = content.as_py()
+            found = [] if content is None else parse(category.as_py(), kind.as_py(), content)
+            rows += found
+            at += [i] * len(found)
+            size += len(content or b"")
+            if rows and size >= BATCH:
+                yield packed()
+                at, rows, size = [], [], 0
+        if rows:
+            yield packed()
 
 
 def chunked(files: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+import re
 from hashlib import sha256
+from types import SimpleNamespace
 from urllib.parse import unquote
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +111,24 @@ def test_a_scan_opens_only_matching_files(spark, tmp_path):
 
 def test_comment_lines_of_three_slashes_keep_the_third():
     assert comments.extract("rust", "/// doc\n//// more\n") == [("/ doc\n// more", 1)]
+
+
+def test_plain_text_costs_no_pattern(monkeypatch):
+    monkeypatch.setattr(markdown, "re", SimpleNamespace(Match=re.Match))
+    assert markdown.inline("plain words (of one) line") == "plain words (of one) line" and markdown.inline("a  \n b\\\nc") == "a\nb\nc"
+
+
+def test_line_breaks_lose_their_blanks():
+    rng = random.Random(6)
+    for _ in range(20000):
+        text = "".join(rng.choices("a \t\\\n", k=rng.randint(0, 12)))
+        assert markdown.unpadded(text) == re.sub(r"[ \t]*(?: {2,}|\\)?\n[ \t]*", "\n", text), repr(text)
+
+
+def test_small_files_go_out_together():
+    names = ["path", "category", "kind", "content"]
+    texts = [f"# H{i}\n" + "word " * (i % 7 * 20000) for i in range(60)] + [None, ""]
+    rows = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(62)]), pa.array(["markdown"] * 62), pa.array([None] * 62, pa.string()), pa.array([t and t.encode() for t in texts], pa.binary())], names=names)
+    out = list(files._chunks(iter([rows])))
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(str(i), "markdown", *c) for i, t in enumerate(texts) if t for c in files.parse("markdown", None, t)] and 5 < len(out) < 30
