@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -76,3 +77,26 @@ def near_positions(toks: Column, words: list[str], slop: int) -> Column:
         return (w[0] == words[0]) & F.coalesce(end < size, F.lit(False))
 
     return places(F.transform(windows(toks, size), follows))
+
+
+#: Between joined tokens: a noncharacter, which no token pattern takes.
+BETWEEN = "\uffff"
+#: Ways to spread the words between over the places between, up to which a proximity is one regular expression.
+MOST_WAYS = 500
+
+
+def near_count(toks: Column, words: list[str], slop: int = 0) -> Column:
+    """The number of near_positions. The joined tokens are searched by one regular expression, which costs a few nanoseconds a character instead of
+    microseconds a token; a proximity with very many ways to spread its slop goes by windows."""
+    if len(words) < 2 or math.comb(slop + len(words) - 2, len(words) - 2) > MOST_WAYS:
+        return F.size(near_positions(toks, words, slop))
+    skip = f"(?:[^{BETWEEN}]*{BETWEEN})"
+
+    def rest(k: int, left: int) -> str:
+        word = re.escape(words[k]) + BETWEEN
+        if k + 1 == len(words):
+            return f"{skip}{{0,{left}}}{word}"
+        return "(?:" + "|".join(f"{skip}{{{g}}}{word}{rest(k + 1, left - g)}" for g in range(left + 1)) + ")"
+
+    joined = F.concat(F.lit(BETWEEN), F.array_join(toks, BETWEEN), F.lit(BETWEEN))
+    return F.regexp_count(joined, F.lit(f"(?<={BETWEEN}){re.escape(words[0])}(?={BETWEEN}{rest(1, slop)})"))

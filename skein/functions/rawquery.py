@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.analysis import SIMPLE, near_positions, phrase_positions, query_tokens
+from skein.functions.analysis import SIMPLE, near_count, query_tokens
 from skein.operators import bm25
 
 TOKENS = {"text": bm25.TEXT, "heading_text": bm25.HEADING}
@@ -212,7 +212,7 @@ def _leaf(x: Leaf, stats: dict[str, bm25.FieldStats]) -> tuple[Column, Column]:
         s = stats[name]
         if x.kind == "term":
             return F.array_contains(name, x.words[0]), bm25.term_score(name, x.words[0], s, x.boost)
-        found = F.size(near_positions(F.col(name), list(x.words), int(x.amount)) if x.amount else phrase_positions(F.col(name), list(x.words)))
+        found = near_count(F.col(name), list(x.words), int(x.amount))
         # Places are looked for only in rows that have all words.
         found = F.when(reduce(lambda a, b: a & b, (F.array_contains(name, w) for w in x.words)), found).otherwise(0)
         weight = reduce(lambda a, b: a + b, (bm25.idf(s, w) for w in x.words))
@@ -257,3 +257,12 @@ def compiled(chunks: DataFrame, query: str, pattern: str = SIMPLE) -> tuple[Colu
     """(matches, score) of a query text over chunks, with the collection's statistics for its terms."""
     node = parse(query, pattern)
     return columns(node, bm25.collection_stats(chunks, terms_by_field(node)))
+
+
+def matching(chunks: DataFrame, match: Column, score: Column, *keep: str) -> DataFrame:
+    """keep and score of the rows that match.
+
+    Both come out of a generator, which the optimiser doesn't look through: a filter on them would be moved below the token columns, which
+    would have a row's tokens made anew for every mention of them in it."""
+    rows = chunks.select(*keep, F.explode(F.array(F.struct(match.alias("hit"), score.alias("score")))).alias("r"))
+    return rows.where("r.hit").select(*keep, "r.score")

@@ -39,15 +39,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     out = d.select(
         "doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0).alias("chunk_no"),
         F.array(F.concat("source", F.lit(" "), "lang")).alias("heading_path"), F.concat("source", F.lit(" "), "lang").alias("heading"), "text", F.col("n_chars").cast("int").alias("start_line"),
         F.lit(None).cast("string").alias("frontmatter_json"), F.sha2("text", 256).alias("checksum"), "source", "lang",
     )
-    out = out.withColumn(bm25.TEXT, tokens(F.col("text"))).withColumn(bm25.HEADING, tokens(F.col("heading")))
-    return out.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left") if vectors else out
+    return out.withColumn(bm25.TEXT, tokens(F.col("text"))).withColumn(bm25.HEADING, tokens(F.col("heading")))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks' keys with their vectors: no text takes part in the join."""
+    return chunks(spark, sf_dir).select("doc_id", "path", "chunk_no").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
 
 
 D = rf"""d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path, source || ' ' || lang AS heading, source, lang, text, n_chars AS line, sha256(text) AS checksum,
@@ -159,7 +163,7 @@ def raw(name: str, text: str, match: str, score: str = "1.0", terms: dict[str, l
     def run(spark, sf_dir):
         c = chunks(spark, sf_dir)
         hit, points = rawquery.compiled(c, text)
-        return scored(bm25.top(c.where(hit).select("path", points.alias("score")), "score", TOP, "path"))
+        return scored(bm25.top(rawquery.matching(c, hit, points, "path"), "score", TOP, "path"))
 
     query(name, sql)(run)
 
@@ -225,12 +229,12 @@ ORDER BY coalesce(1.0 / (60 + t.r), 0) + coalesce(1.0 / (60 + k.r), 0) DESC, t.r
 
 @query("hybrid_rrf", hybrid_sql(["clown", "idiot"], "true"))
 def hybrid_rrf(spark, sf_dir):
-    return scored(plans.hybrid_leg(chunks(spark, sf_dir, vectors=True), "clown idiot", ASKED, TOP))
+    return scored(plans.hybrid_leg(chunks(spark, sf_dir), "clown idiot", ASKED, TOP, vectors=vectors(spark, sf_dir)))
 
 
 @query("hybrid_rrf_prefix", hybrid_sql(["clown", "idiot"], "starts_with(path, 'src1/')"))
 def hybrid_rrf_prefix(spark, sf_dir):
-    return scored(plans.hybrid_leg(chunks(spark, sf_dir, vectors=True), "clown idiot", ASKED, TOP, "src1"))
+    return scored(plans.hybrid_leg(chunks(spark, sf_dir), "clown idiot", ASKED, TOP, "src1", vectors=vectors(spark, sf_dir)))
 
 
 @query("hybrid_text_only_degraded", bm25_sql(["clown", "idiot"]))

@@ -46,8 +46,8 @@ def text_leg(chunks: DataFrame, query: str, n: int, prefix: str | None = None, p
 
 def raw_leg(chunks: DataFrame, query: str, n: int, prefix: str | None = None, pattern: str = SIMPLE) -> DataFrame:
     match, score = rawquery.compiled(chunks, query, pattern)
-    rows = chunks.where(pathprefix.under(F.col("path"), prefix) & match)
-    return bm25.top(rows.select(*KEY, score.alias("score")), "score", n, *KEY)
+    rows = rawquery.matching(chunks.where(pathprefix.under(F.col("path"), prefix)), match, score, *KEY)
+    return bm25.top(rows, "score", n, *KEY)
 
 
 def vector_leg(chunks: DataFrame, query: list[float], n: int, prefix: str | None = None) -> DataFrame:
@@ -55,13 +55,13 @@ def vector_leg(chunks: DataFrame, query: list[float], n: int, prefix: str | None
     return vector.nearest(rows.select(*KEY, "embedding"), "embedding", query, n, *KEY).select(*KEY, "score")
 
 
-def hybrid_leg(chunks: DataFrame, query: str, query_vector: list[float] | None, n: int, prefix: str | None = None, pattern: str = SIMPLE) -> DataFrame:
-    """Both legs fused; without a query vector the text leg alone."""
+def hybrid_leg(chunks: DataFrame, query: str, query_vector: list[float] | None, n: int, prefix: str | None = None, pattern: str = SIMPLE, vectors: DataFrame | None = None) -> DataFrame:
+    """Both legs fused; without a query vector the text leg alone. vectors: KEY and embedding, where the chunks don't hold them; texts aren't joined with them."""
     if query_vector is None:
         return text_leg(chunks, query, n, prefix, pattern)
     d = fusion.depth(n)
     text = fusion.ranked(text_leg(chunks, query, d, prefix, pattern), "text_rank", F.desc("score"), *KEY)
-    vec = fusion.ranked(vector_leg(chunks, query_vector, d, prefix), "vec_rank", F.desc("score"), *KEY)
+    vec = fusion.ranked(vector_leg(chunks if vectors is None else vectors, query_vector, d, prefix), "vec_rank", F.desc("score"), *KEY)
     return fusion.fused(text, vec, KEY, n).select(*KEY, "score")
 
 

@@ -40,3 +40,15 @@ def test_query(spark, db, name):
     assert columns == sorted(want.columns)
     rows = lambda df: sorted(tuple(norm(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["raw_slop", "raw_phrase", "raw_and"])
+def test_a_row_has_its_tokens_made_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(") == 1
+
+
+def test_texts_are_not_joined_with_vectors(spark):
+    """One join of keys with vectors, one of the two legs."""
+    plan = QUERIES["hybrid_rrf"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 2

@@ -8,7 +8,7 @@ from skein.functions import pathprefix, rawquery, render
 from skein.functions.embed import HashingEmbedder, basic_tokens, embed_column, wordpiece
 from skein.operators import postings
 from skein.operators.snapshot import EmbeddingDrift, SnapshotStore
-from skein.functions.analysis import WORDS, text_tokens
+from skein.functions.analysis import WORDS, near_count, near_positions, text_tokens
 from skein.plans.search import SearchIndex, Syntax, search, text_leg
 from skein.sources.config import parse
 from skein.sources.files import analysed
@@ -179,6 +179,18 @@ def test_postings_score_as_the_chunk_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_proximity_counts_as_by_windows(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([([rng.choice(["of", "the", "a", "off", "o.f"]) for _ in range(rng.randint(0, 25))],) for _ in range(300)], "t array<string>")
+    asked = [(w, s) for w in (["of", "the"], ["of", "of"], ["of", "the", "a"], ["o.f", "a"]) for s in (0, 1, 2, 3)]
+    unlike = [F.sum((near_count(F.col("t"), w, s) != F.size(near_positions(F.col("t"), w, s))).cast("int")) for w, s in asked]
+    assert set(df.select(*unlike).first()) == {0}
+    wide = near_count(F.col("t"), list("abcdefgh"), 12)
+    assert df.where(wide != 0).count() == 0
+    plan = df.select(near_count(F.col("t"), ["of", "the"], 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_postings_count_a_chunk_in_its_row(spark, tmp_path):
     rng = random.Random(4)
     rows = [(f"p/{i}", ["h h", "x"] if i % 2 else [], " ".join(rng.choices(["a", "b", "Zz", "ü"], k=i % 40)), None) for i in range(80)]
